@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lotwise.llm import decontaminate, mixing, quality, shard
+from lotwise.llm import decontaminate, langid, mixing, quality, quotes, repeats, secrets, shard, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,48 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_sharding, op7_mixing, op9_decontamination)}
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), width=13)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4, shingle=4)
+
+
+#: The rank file of a public byte-level vocabulary, read on the driver; set LOTWISE_VOCABULARY to use another.
+VOCABULARY = os.environ.get("LOTWISE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(table(spark, sf_dir, "documents"), token_counts.vocabulary(VOCABULARY))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_quotation_linking,
+        op3_sharding,
+        op4_substring_dedup,
+        op5_simhash,
+        op6_token_counts,
+        op7_mixing,
+        op8_language_id,
+        op9_decontamination,
+        op10_secret_scan,
+    )
+}
 
 ORACLES: dict[str, str] = {}

@@ -400,7 +400,7 @@ def subcategory_buckets(spark, sf):
     return business.subcategory_buckets(categorized(spark, sf))
 
 
-@query(R.with_category(f", r AS (SELECT _source_row, subcategory = 'Rice' AS c, coalesce({_bucket} = 'Rice', false) AS b FROM cat) SELECT _source_row, CASE WHEN c AND b THEN 'both' WHEN c THEN 'canonical_only' ELSE 'business_only' END AS side FROM r WHERE c OR b"))
+@query(R.with_category(f", r AS (SELECT _source_row, bool_or(subcategory = 'Rice') AS c, bool_or(coalesce({_bucket} = 'Rice', false)) AS b FROM cat GROUP BY 1) SELECT _source_row, CASE WHEN c AND b THEN 'both' WHEN c THEN 'canonical_only' ELSE 'business_only' END AS side FROM r WHERE c OR b"))
 def rice_sides(spark, sf):
     r = tables.shared_table(business.with_bucket(categorized(spark, sf)).select("_source_row", "subcategory", "bucket"))
     return business.reconcile_sides(r.where("subcategory = 'Rice'"), r.where("bucket = 'Rice'"), "_source_row")

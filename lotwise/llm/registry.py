@@ -76,4 +76,51 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_TEST_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+OP4_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13),
+k AS (SELECT r, doc_id, p, array_to_string(w[p:p + 12], ' ') AS t FROM s),
+f AS (SELECT t, min(doc_id) AS first FROM k GROUP BY 1),
+h AS (SELECT k.r, k.p FROM k JOIN f USING (t) WHERE k.doc_id > f.first),
+g AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS q FROM h),
+x AS (SELECT r, list(q) AS gone FROM g GROUP BY 1),
+m AS (SELECT d.doc_id, d.w, coalesce(x.gone, []) AS gone FROM d LEFT JOIN x USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(w, lambda v, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256 FROM m"""
+
+OP9_SQL = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TEST_WORDS} AS w FROM benchmark),
+i AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS t FROM i),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TEST_WORDS} AS w FROM documents),
+s AS (SELECT d.r, d.w, l.n, unnest(range(1, len(d.w) - l.n + 2)) AS p FROM d, (SELECT DISTINCT n FROM v) l WHERE len(d.w) >= l.n),
+h AS (SELECT s.r, s.p, s.n, v.item FROM s JOIN v ON v.n = s.n AND v.t = array_to_string(s.w[s.p:s.p + s.n - 1], ' ')),
+g AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY 1),
+t AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(g.n_hit, 0) AS n_hit, CAST(coalesce(len(t.items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(t.items, ','), '')) AS items_sha256, coalesce(g.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN g USING (r) LEFT JOIN t USING (r)"""
+
+_NORM = r"trim(lower(regexp_replace({}, '[\s\x01]+', ' ', 'g')))"
+_MARKS = r"^[\x20\t]*(?:>[\x20\t]*)+"
+OP2_SQL = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS ls FROM conversations),
+l0 AS (SELECT r, conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM m),
+l AS (SELECT r, conv_id, turn, i, length(regexp_replace(regexp_extract(x, '{_MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(x, '{_MARKS}', '') AS content FROM l0),
+n AS (SELECT *, {_NORM.format('content')} AS norm, lag(level) OVER w AS last_level, lag({_NORM.format('content')}) OVER w AS last_norm, lead(level) OVER w AS next_level FROM l WINDOW w AS (PARTITION BY r ORDER BY i)),
+p0 AS (SELECT *, sum(CASE WHEN last_level IS NULL OR last_level <> level OR last_norm = '' OR norm = '' THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
+p AS (SELECT r, conv_id, turn, level, string_agg(norm, ' ' ORDER BY i) AS u FROM p0 WHERE norm <> '' GROUP BY r, conv_id, turn, level, run),
+u AS (SELECT DISTINCT r, conv_id, turn, level, u FROM (SELECT r, conv_id, turn, level, u FROM p UNION ALL SELECT r, conv_id, turn, level, norm FROM n UNION ALL SELECT r, conv_id, turn, 0, {_NORM.format("coalesce(string_agg(content, ' ' ORDER BY i), '')")} FROM n WHERE level = 0 GROUP BY r, conv_id, turn) WHERE u <> ''),
+o AS (SELECT conv_id, u, min(turn) AS origin FROM u WHERE level = 0 GROUP BY ALL),
+votes AS (SELECT u.conv_id, u.turn, level, origin, sum(length(u.u)) AS chars FROM u JOIN o USING (conv_id, u) WHERE level > 0 AND origin < u.turn GROUP BY ALL),
+links AS (SELECT conv_id, turn, origin AS reply_to FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, origin DESC) = 1),
+up AS (SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links UNION ALL SELECT up.conv_id, up.turn, k.reply_to, up.depth + 1 FROM up JOIN links k ON k.conv_id = up.conv_id AND k.turn = up.thread),
+root AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM up GROUP BY ALL),
+q AS (SELECT r, max(level) AS quote_level, count(*) FILTER (level > 0) AS n_quoted, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (regexp_matches(content, '{quotes.ATTRIBUTION}') AND coalesce(next_level, 0) > 0)), ''), '^\n+|\n+$', '', 'g') AS body FROM n GROUP BY r)
+SELECT m.conv_id, m.turn, m.role, k.reply_to, coalesce(root.thread, m.turn) AS thread, CAST(coalesce(root.depth, 0) AS BIGINT) AS depth, CAST(q.quote_level AS INT) AS quote_level, CAST(q.n_quoted AS INT) AS n_quoted, q.body
+FROM m JOIN q USING (r) LEFT JOIN links k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn"""
+
+#: The other operators hash, iterate, tokenise or learn in ways that SQL does not have; tests compare them with brute force.
+ORACLES: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}

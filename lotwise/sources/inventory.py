@@ -54,5 +54,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql, tables = INVENTORY_SQL, {}
     for name in ("lineitem", "part", "supplier", "nation"):
         tables[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name == "lineitem" and len(tables[name].inputFiles()) < spark.sparkContext.defaultParallelism:
+            tables[name] = tables[name].repartition(spark.sparkContext.defaultParallelism)  # few files: else few tasks do all rules
         sql = sql.replace(f"FROM {name} ", f"FROM {{{name}}} ").replace(f"JOIN {name} ", f"JOIN {{{name}}} ")
     return spark.sql(sql, **tables)

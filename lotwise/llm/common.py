@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Tasks get the subpackage's own functions by value: executors need not have it installed.
-cloudpickle.register_pickle_by_value(sys.modules["lotwise.llm"])
-
 #: Java pattern of what separates words.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Java pattern of one word.

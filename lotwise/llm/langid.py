@@ -10,8 +10,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lotwise.llm.common import materialize
-
 #: Hash dimensions of the n-gram vectors.
 DIMENSIONS = 1 << 12
 #: Labelled documents of a language that its centroids are fitted on, at most about so many, chosen by a hash of the id.

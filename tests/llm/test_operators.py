@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from lotwise.llm import common, decontaminate, graph, langid, mixing, quality, quotes, repeats, secrets, shard, simhash, token_counts
 
@@ -350,4 +349,3 @@ def test_quotes(spark):
 def test_join_hint_has_a_bound(spark):
     t = spark.range(20)
     assert "broadcast" in common.sized(t)._jdf.queryExecution().toString().lower() and "merge" in common.sized(t, 10)._jdf.queryExecution().toString().lower()
-    assert F.col("x") is not None

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lotwise.functions import text as X
-
-
 
 def measures(sku: str = "product_family_id") -> list[Column]:
     return [

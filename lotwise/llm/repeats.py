@@ -80,7 +80,8 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(row))), pa.array(np.concatenate(found).view(np.int64))], names=["id", "a"])
 
     each = own.select("id", "text").mapInArrow(seeds, T.StructType([kind, T.StructField("a", T.LongType())]))
-    shared = each.groupBy("a").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a")
+    # written first: a join of two plain exchanges is one whose hot keys Spark splits
+    shared = materialize(each.groupBy("a").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a"))
     seeded = materialize(each.join(shared, "a").groupBy("id").agg(F.collect_set("a").alias("anchors")))  # a row's own anchors
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     some = own.join(sized(seeded.select("id")), "id", "left_semi").join(seeded.hint("merge"), "id")
     schema = T.StructType([kind, T.StructField("w", T.LongType()), T.StructField("at", T.LongType())])
     whole = materialize(some.select("id", "key", "text", "anchors").mapInArrow(windows, schema))
-    origin = whole.groupBy("w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w", "least")
+    origin = materialize(whole.groupBy("w").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("w", "least"))
     hits = whole.join(origin, "w").where("id > least").groupBy("id", F.shiftright("at", 40).cast("int").alias("key"))
     places = hits.agg(F.array_sort(F.collect_set(F.col("at").bitwiseAND((1 << 40) - 1).cast("int"))).alias("p"))
     real = lambda c: F.filter(c, lambda x: x.isNotNull())

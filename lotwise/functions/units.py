@@ -103,12 +103,13 @@ def weight_value(c: Column | str, unit: Column | str | None = None) -> Column:
 
 
 def _amount(c: Column | str, large: str, small: str) -> Column:
-    s = F.lower(F.coalesce(col(c), F.lit("")))
+    s = col(c)
     def times(unit: str) -> Column:
-        p = rf"\b{NUMBER}\s*(?:x|\*)\s*{NUMBER}\s*{any_of(unit)}\b"
+        p = rf"(?i)\b{NUMBER}\s*(?:x|\*)\s*{NUMBER}\s*{any_of(unit)}\b"
         return found(s, p).cast("double") * found(s, p, 2).cast("double")
-    one = lambda unit: found(s, rf"\b{NUMBER}\s*{any_of(unit)}\b").cast("double")
-    return F.coalesce(times(large), times(small) / 1000, one(large), one(small) / 1000)
+    one = lambda unit: found(s, rf"(?i)\b{NUMBER}\s*{any_of(unit)}\b").cast("double")
+    some = s.rlike(rf"(?i)[0-9]\s*(?:{any_of(large)}|{any_of(small)})\b")  # most texts stop here
+    return F.when(some, F.coalesce(times(large), times(small) / 1000, one(large), one(small) / 1000))
 
 
 def mass_kg(*texts: Column | str) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.functions import text as X, vocabulary as V
+from lotwise.sources.tables import once_for_each
 
 OTHER = "Other / Uncategorized"
 BASE = "Grocery"
@@ -52,9 +53,12 @@ def categorize(records: DataFrame, domains: Sequence[V.Rule] = tuple(V.DOMAIN_RU
 
     An explicit non-grocery category is kept. Else the first domain rule whose words and gate fit decides, else the
     first food identity that no other rules out, else the mapped or given source category with its best subcategory
-    by keywords, else other. Rules read a record's own columns only: no shuffle.
+    by keywords, else other. Rules read name, brand and source category only, and are asked once for each combination.
     """
-    raw_map = V.RAW_CATEGORIES if raw_map is None else raw_map
+    return once_for_each(records, ["source_category", "normalized_product_name", "normalized_brand"], lambda r: _by_rules(r, domains, foods, taxonomy, V.RAW_CATEGORIES if raw_map is None else raw_map, ambiguous))
+
+
+def _by_rules(records: DataFrame, domains: Sequence[V.Rule], foods: Sequence[V.Food], taxonomy: Sequence[tuple[str, str, str]], raw_map: dict[str, tuple[str, str]], ambiguous: str) -> DataFrame:
     name, both = F.col("__name"), F.col("__both")
     known = list(dict.fromkeys(c for c, _, _ in taxonomy))
     r = records.withColumns({"__raw": scrubbed("source_category"), "__name": F.lower(X.trimmed("normalized_product_name")), "__both": F.lower(F.trim(F.concat_ws(" ", "normalized_product_name", "normalized_brand")))})

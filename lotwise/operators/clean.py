@@ -81,12 +81,13 @@ def clean(records: DataFrame) -> DataFrame:
         {
             "source_value": F.coalesce("__value", F.when(F.col("quantity") > 0, F.col("mrp") * F.col("quantity")), F.lit(0.0)),
             "__mass": U.mass_kg("__uom", "raw_product_name"),
-            "unit_volume_l": F.coalesce(U.volume_l("__uom", "raw_product_name"), F.lit(0.0)),
+            "__volume": U.volume_l("__uom", "raw_product_name"),
             "__pack": U.pack_size(U.strip_price("__uom"), "raw_product_name"),
             "__has_total": F.coalesce(F.col("__total.raw_value") > 0, F.lit(False)),
             "__has_unit": F.coalesce(F.col("__unit.raw_value") > 0, F.lit(False)),
         }
     )
+    r = r.withColumn("unit_volume_l", F.coalesce("__volume", F.lit(0.0)))
     known = lambda c: F.coalesce(F.col(f"{c}.unit").isin("KG", "G"), F.lit(False))
     r = r.withColumns(
         {
@@ -112,7 +113,7 @@ def clean(records: DataFrame) -> DataFrame:
             "total_weight_unit": F.when(total.isNotNull(), F.lit("KG")).otherwise(F.coalesce("__total.unit", F.lit("UNKNOWN"))),
             "weight_validation_status": F.when(F.col("__has_total") & F.col("__has_unit"), F.when(known("__total") & known("__unit"), agree).otherwise("UNKNOWN_UNIT")).when(by_unit.isNotNull(), "EXACT").otherwise("N/A"),
             "total_volume_l": F.when(F.col("unit_volume_l") > 0, volume).otherwise(0.0),
-            "volume_uom": F.when(U.volume_l("__uom", "raw_product_name").isNotNull(), F.lit("L")),
+            "volume_uom": F.when(F.col("__volume").isNotNull(), F.lit("L")),
             "normalized_uom": F.col("__pack.normalized_uom"),
             "uom_size": F.col("__pack.uom_size"),
             "uom_type": F.col("__pack.uom_type"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.functions import text as X
+from lotwise.sources.tables import once_for_each
 
 #: Words and phrases of a status, as they read after X.status_text.
 SELLABLE = (
@@ -44,14 +45,20 @@ def resolve_status(records: DataFrame) -> DataFrame:
     """Adds status, status_confidence, status_source, status_rule, is_status_conflict and status_conflict_reason.
 
     Row fields beat the sheet's name, which beats the default, sellable. Signals of both kinds in a row are a conflict
-    and leave the status unknown. Damage or expiry words say nothing here.
+    and leave the status unknown. Damage or expiry words say nothing here. The fields repeat, so the rules are asked
+    once for each combination of fields and sheet.
     """
+    return once_for_each(records, ["_sheet_name", *(f for f in FIELDS if f in records.columns)], _by_signals)
+
+
+def _by_signals(records: DataFrame) -> DataFrame:
     signals = []
+    r = records.withColumns({f"__t_{name}": X.status_text(name) for name in FIELDS if name in records.columns})
     for name in FIELDS:
-        t = X.status_text(name) if name in records.columns else F.lit("")
+        t = F.col(f"__t_{name}") if name in records.columns else F.lit("")
         blank = t.isin("", "unknown", "null", "na")
         signals.append(F.struct(F.lit(name).alias("name"), (~blank & has_signal(t, NON_SELLABLE)).alias("bad"), (~blank & has_signal(t, SELLABLE)).alias("good")))
-    r = records.withColumn("__s", F.array(*signals))
+    r = r.withColumn("__s", F.array(*signals))
     r = r.withColumns({"__bad": F.get(F.filter("__s", lambda x: x["bad"]), F.lit(0))["name"], "__good": F.get(F.filter("__s", lambda x: x["good"]), F.lit(0))["name"], "__sheet": sheet_signal(X.status_text("_sheet_name"))})
     bad, good, sheet = F.col("__bad"), F.col("__good"), F.col("__sheet")
     conflict = bad.isNotNull() & good.isNotNull()
@@ -66,7 +73,7 @@ def resolve_status(records: DataFrame) -> DataFrame:
             "status_conflict_reason": F.when(conflict, F.concat(F.lit("both signals: sellable in "), good, F.lit(", non-sellable in "), bad)),
         }
     )
-    return r.drop("__s", "__bad", "__good", "__sheet")
+    return r.drop("__s", "__bad", "__good", "__sheet", *(f"__t_{name}" for name in FIELDS))
 
 
 def reconcile_status(records: DataFrame, *by: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,6 +28,24 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """Hints a broadcast of a written, narrow table if it has few enough rows; else leaves a join that shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def once_for_each(records: DataFrame, keys: list[str], judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Records with the columns that ``judge`` adds to their keys, which it sees once for each distinct combination.
+
+    For costly rules over texts that repeat. The combinations are pre-aggregated where the records lie; their results
+    are written and joined back, broadcast while they are few.
+    """
+    judged = judge(records.select(*keys).distinct())
+    added = [c for c in judged.columns if c not in keys]
+    named = shared_table(judged.select(*(F.col(k).alias(f"__key_{k}") for k in keys), *added))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys))
+    return records.join(sized(named), same, "left").drop(*(f"__key_{k}" for k in keys))
+
+
 def with_id(records: DataFrame) -> DataFrame:
     """A stable id for every raw row, from where it stood."""
     return records.withColumn("id", F.sha2(F.concat_ws("|", "dataset_id", "_sheet_name", F.col("_source_row").cast("string")), 256))

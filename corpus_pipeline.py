@@ -9,7 +9,7 @@ from lotwise.llm.decontaminate import drop_contaminated
 from lotwise.llm.mixing import mixed_documents
 from lotwise.llm.quality import keep_good
 from lotwise.llm.shard import shard_documents
-from lotwise.llm.simhash import keep_one
+from lotwise.llm.shingles import drop_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return keep_one(docs)
+    """One document of each group stays that is linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: Fingerprints, hashed n-grams and Newton steps are beyond SQL; tests/llm compares with brute force.
+#: Shingle sets, hashed n-grams and Newton steps are beyond SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 

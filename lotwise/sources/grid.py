@@ -6,7 +6,7 @@ sheets make one frame; every operator works on all of them at once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotwise.functions import text as X, units as U
 
@@ -164,11 +164,10 @@ def sheet_stats(grid: DataFrame, aliases: dict[str, list[str]] | None = None) ->
     return t.groupBy("dataset_id", "_sheet_name").agg(F.count("*").alias("raw_rows"), n(F.col("_exclude_reason").isNull()).alias("kept"), n(F.col("_exclude_reason").isNotNull()).alias("excluded"), n(F.col("_exclude_reason") == "summary_row").alias("summary_rows"), n(F.col("_exclude_reason") == "missing_product_name").alias("no_name_rows"))
 
 
-def infer_weight_unit(records: DataFrame, sample: int = 500) -> DataFrame:
-    """A row a dataset: KG as the unit of bare weights if, of the first rows with a weight and a mass in the pack text,
-    five or more were checked and 80 % agree."""
-    first = records.withColumn("rn", F.row_number().over(W.partitionBy("dataset_id").orderBy("_source_row"))).where(F.col("rn") <= sample)
+def infer_weight_unit(records: DataFrame) -> DataFrame:
+    """A row a dataset: KG as the unit of bare weights if five or more rows have a weight and a mass in the pack text
+    and 80 % of these agree. All rows count."""
     bare, named = F.regexp_replace("weight", ",", "").try_cast("double"), U.mass_kg("variant_uom_text")
     checked = (bare > 0) & named.isNotNull()
-    c = first.groupBy("dataset_id").agg(F.count_if(checked).alias("checked"), F.count_if(checked & (F.abs(bare - named) < 1e-3)).alias("agreed"))
+    c = records.groupBy("dataset_id").agg(F.count_if(checked).alias("checked"), F.count_if(checked & (F.abs(bare - named) < 1e-3)).alias("agreed"))
     return c.withColumn("weight_unit", F.when((F.col("checked") >= 5) & (F.col("agreed") >= 0.8 * F.col("checked")), "KG"))

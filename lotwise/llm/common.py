@@ -64,9 +64,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hints a broadcast of a materialised, narrow table if it has few enough rows; else leaves a shuffle join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Hints a broadcast of a materialised, narrow table if it has few enough rows; else leaves a shuffle join.
+
+    Rows that hold arrays count as so many rows as ``weight`` says."""
+    if weight is None:
+        small = df.limit(most + 1).count() <= most
+    else:
+        small = (df.agg(F.sum(F.lit(1) + weight)).first()[0] or 0) <= most
+    return F.broadcast(df) if small else df.hint("merge")
 
 
 def only(df: DataFrame, **columns: Column) -> DataFrame:

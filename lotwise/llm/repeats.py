@@ -56,7 +56,7 @@ def surroundings(hashes: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
     near = np.concatenate([padded[at[:, None] + reach - 1 - step], padded[at[:, None] + reach + SEED + step]], axis=1)
     words = near.astype("<u8").view(np.uint8).reshape(len(at), 2 * reach, 8)[:, :, 8 - _BYTES :]
     second = _runs(hashes, SEED, _M2)[at].astype("<u8").view(np.uint8).reshape(len(at), 8)
-    return np.concatenate([second, words.reshape(len(at), -1)], axis=1)
+    return np.concatenate([second, words.reshape(len(at), 2 * reach * _BYTES)], axis=1)
 
 
 def extend(own: np.ndarray, other: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ def window_keys(seeds: np.ndarray, near: np.ndarray, left: int, reach: int) -> t
     """128 bits that stand for the windows with so many words left of their seed."""
     wide = np.zeros((len(near), 2 * reach, 8), np.uint8)
     wide[:, :, 8 - _BYTES :] = near[:, 8:].reshape(len(near), 2 * reach, _BYTES)
-    words = wide.reshape(len(near), -1).view("<u8")
+    words = wide.view("<u8").reshape(len(near), 2 * reach)
     a, b = seeds.copy(), near[:, :8].copy().view("<u8").reshape(-1)
     for column in (*range(left), *range(reach, 2 * reach - left)):
         a, b = a * _M1 + words[:, column], b * _M2 + words[:, column]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,9 +13,28 @@ from lotwise.llm.common import materialize
 
 #: Lengths are summed in chunks of so many, so that no task holds the whole histogram.
 CHUNK = 1024
-#: Where a piece of text may be cut without changing its tokens is not known in advance; whole texts are encoded.
+#: How a text falls into pieces before they are encoded, unless another pattern is given.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of white space (by Unicode's property, as the encoder's patterns have it) that the encoder need not see whole.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2000,}")
+
+
+def token_count(encoder, text: str) -> int:
+    """The number of tokens of a text.
+
+    The encoder's pattern engine overflows its stack on a run of hundreds of thousands of blanks. Under PATTERN such a
+    run is one piece, but for its last blank where text follows, and no piece before it reaches into it; so long runs
+    are encoded as pieces of their own, with the same result.
+    """
+    n = at = 0
+    if encoder._pat_str == PATTERN:
+        for m in _LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            n += len(encoder.encode_ordinary(text[at : m.start()])) + len(encoder._encode_single_piece(text[m.start() : end]))
+            at = end
+    return n + len(encoder.encode_ordinary(text[at:]))
+
 
 def vocabulary(path: str) -> bytes:
     """A rank file: lines of base64 token and rank. It has a fixed size (about a MB), so tasks get it by broadcast."""
@@ -32,7 +52,7 @@ def lengths(docs: DataFrame, ranks: bytes, pattern: str = PATTERN, text_col: str
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encoder.encode_ordinary(t.as_py() or "")) for t in b.column(0)], pa.int64())], names=["length"])
+            yield pa.RecordBatch.from_arrays([pa.array([token_count(encoder, t.as_py() or "") for t in b.column(0)], pa.int64())], names=["length"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "length long")
 
@@ -68,8 +88,19 @@ def length_histogram(docs: DataFrame, ranks: bytes, pattern: str = PATTERN, text
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """Answers for given context limits: limit, n_cut (documents longer than it), truncated_total."""
-    asked = F.explode(F.array(*(F.lit(x).cast("long") for x in limits)))
-    cut = F.col("length") > F.col("limit")
-    rows = histogram.select(asked.alias("limit"), "length", "n_docs")
-    return rows.groupBy("limit").agg(F.coalesce(F.sum(F.when(cut, F.col("n_docs"))), F.lit(0)).alias("n_cut"), F.sum(F.least("length", "limit") * F.col("n_docs")).alias("truncated_total"))
+    """Answers for given context limits: limit, n_cut (documents longer than it), truncated_total.
+
+    Read from the suffix sums at the least length beyond each limit; beyond the longest text nothing is cut. An empty
+    histogram gives zeros.
+    """
+    beyond = lambda x: F.min_by(F.struct("n_longer", "tokens_longer"), F.when(F.col("length") > x, F.col("length")))
+    found = histogram.agg(F.coalesce(F.max("tokens_total"), F.lit(0)).alias("tokens"), *(beyond(x).alias(f"at_{i}") for i, x in enumerate(limits)))
+    answers = F.array(*(F.struct(F.lit(x).cast("long").alias("limit"), F.col(f"at_{i}").alias("at")) for i, x in enumerate(limits)))
+    n, k = F.coalesce("a.at.n_longer", F.lit(0)), F.coalesce("a.at.tokens_longer", F.lit(0))
+    return found.select("tokens", F.explode(answers).alias("a")).select("a.limit", n.alias("n_cut"), (F.col("tokens") - k + F.col("a.limit") * n).alias("truncated_total"))
+
+
+def at_quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """For each share the least length that so many of the documents do not exceed: share, length (null if empty)."""
+    found = histogram.agg(*(F.min(F.when(F.col("quantile") >= q, F.col("length"))).alias(f"at_{i}") for i, q in enumerate(shares)))
+    return found.select(F.explode(F.array(*(F.struct(F.lit(float(q)).alias("share"), F.col(f"at_{i}").alias("length")) for i, q in enumerate(shares)))).alias("a")).select("a.*")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Hash dimensions of the n-gram vectors.
@@ -21,7 +21,8 @@ MOST_LANGUAGES = 10_000
 SLACK = 0.8
 _ROUNDS = 8
 _PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: As Java's \\p{L}, which the rows to learn from are chosen by: digits of other kinds, such as \xb2 or \u2167, are none.
+_LETTER = regex.compile(r"\p{L}")
 #: Letters become lower case, other ASCII a space; bytes of other characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,6 +47,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_own: dict[str, str] = {}  # temporary folders of local applications
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables that the driver and all executors see: spark.checkpoint.dir.
 
@@ -50,20 +57,50 @@ def shared_folder(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-lotwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _own[app] = tempfile.mkdtemp(prefix="spark-lotwise-")
+        base = _own[app]
     return base.rstrip("/")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    note(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def note(path: str) -> None:
+    """Leaves a table to the scratch around, if there is one, to be deleted."""
+    if (made := _made.get()) is not None:
+        made.append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that are materialised within it once it ends, but for those taken out of the list."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def sized(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """Hints a broadcast of a materialised, narrow table if it has few enough rows; else leaves a shuffle join.
 
@@ -73,8 +110,3 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS, weight: Column | None = Non
     else:
         small = (df.agg(F.sum(F.lit(1) + weight)).first()[0] or 0) <= most
     return F.broadcast(df) if small else df.hint("merge")
-
-
-def only(df: DataFrame, **columns: Column) -> DataFrame:
-    """The given columns alone, so that extra columns of an input cannot clash with names made later."""
-    return df.select(*(c.alias(name) for name, c in columns.items()))

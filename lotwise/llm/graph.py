@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lotwise.llm.common import materialize
+from lotwise.llm.common import materialize, note, scratch
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -19,8 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al., 2014): every node hangs its neighbours on the least
     of them until each component is a star. Rounds grow with the logarithm of the number of nodes; each is written to
     the shared folder, so no lineage piles up and a lost executor costs one round. A hub's edges are met by a join
-    that Spark can split, never in one group.
+    that Spark can split, never in one group. Tables of earlier rounds are deleted; the last stays.
     """
+    with scratch(edges.sparkSession) as made:
+        stars = _stars(edges)
+        kept = made.pop()
+    note(kept)
+    return stars
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     stamp = _stamp(now)
     while True:
@@ -32,4 +40,4 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         last, stamp = stamp, _stamp(now)
         if last == stamp:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return materialize(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotwise.llm import decontaminate, langid, mixing, quality, quotes, repeats, secrets, shard, simhash, token_counts
 
@@ -36,6 +36,20 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 over conversations whose messages quote earlier ones: the given table has no quotes, so they are made here.
+
+    By turn mod 4: 1 quotes the message before, 2 that and, nested, the one before it, 3 only the latter, 0 none."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    before = lambda n, c: rows.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(c))
+    rows = rows.join(before(1, "one"), ["conv_id", "turn"], "left").join(before(2, "two"), ["conv_id", "turn"], "left")
+    def quoted(c: str, mark: str) -> Column:
+        return F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
+    head, kind = F.lit("On Monday they wrote:\n"), F.col("turn") % 4
+    marked = F.when(kind == 1, F.concat(head, quoted("one", "> "))).when(kind == 2, F.concat(head, quoted("one", "> "), quoted("two", ">> "))).when(kind == 3, quoted("two", "> "))
+    return quotes.link_quotes(rows.select("conv_id", "turn", "role", F.concat(F.coalesce(marked, F.lit("")), "text").alias("text")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), width=13)
 
@@ -65,6 +79,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_quality_rules,
         op2_quotation_linking,
+        quoted_replies,
         op3_sharding,
         op4_substring_dedup,
         op5_simhash,
@@ -105,22 +120,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(g.n_hit, 0) AS n_
 
 _NORM = r"trim(lower(regexp_replace({}, '[\s\x01]+', ' ', 'g')))"
 _MARKS = r"^[\x20\t]*(?:>[\x20\t]*)+"
-OP2_SQL = rf"""
-WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS ls FROM conversations),
+_OP2_SQL = rf"""
+m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(replace(coalesce(text, ''), chr(13), ''), chr(10)) AS ls FROM conversations),
 l0 AS (SELECT r, conv_id, turn, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM m),
 l AS (SELECT r, conv_id, turn, i, length(regexp_replace(regexp_extract(x, '{_MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(x, '{_MARKS}', '') AS content FROM l0),
 n AS (SELECT *, {_NORM.format('content')} AS norm, lag(level) OVER w AS last_level, lag({_NORM.format('content')}) OVER w AS last_norm, lead(level) OVER w AS next_level FROM l WINDOW w AS (PARTITION BY r ORDER BY i)),
 p0 AS (SELECT *, sum(CASE WHEN last_level IS NULL OR last_level <> level OR last_norm = '' OR norm = '' THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
 p AS (SELECT r, conv_id, turn, level, string_agg(norm, ' ' ORDER BY i) AS u FROM p0 WHERE norm <> '' GROUP BY r, conv_id, turn, level, run),
-u AS (SELECT DISTINCT r, conv_id, turn, level, u FROM (SELECT r, conv_id, turn, level, u FROM p UNION ALL SELECT r, conv_id, turn, level, norm FROM n UNION ALL SELECT r, conv_id, turn, 0, {_NORM.format("coalesce(string_agg(content, ' ' ORDER BY i), '')")} FROM n WHERE level = 0 GROUP BY r, conv_id, turn) WHERE u <> ''),
-o AS (SELECT conv_id, u, min(turn) AS origin FROM u WHERE level = 0 GROUP BY ALL),
-votes AS (SELECT u.conv_id, u.turn, level, origin, sum(length(u.u)) AS chars FROM u JOIN o USING (conv_id, u) WHERE level > 0 AND origin < u.turn GROUP BY ALL),
+u AS (SELECT DISTINCT r, conv_id, turn, level, u FROM (SELECT r, conv_id, turn, level, u FROM p UNION ALL SELECT r, conv_id, turn, level, norm FROM n UNION ALL SELECT r, conv_id, turn, -1, {_NORM.format("coalesce(string_agg(content, ' ' ORDER BY i), '')")} FROM n WHERE level = 0 AND NOT (regexp_matches(content, '{quotes.ATTRIBUTION}') AND coalesce(next_level, 0) > 0) GROUP BY r, conv_id, turn) WHERE u <> ''),
+o AS (SELECT conv_id, u, min(turn) AS anywhere, min(turn) FILTER (level < 0) AS whole FROM u WHERE level <= 0 GROUP BY ALL),
+votes AS (SELECT u.conv_id, u.turn, level, CASE WHEN length(u.u) >= {quotes.LEAST_CHARS} THEN anywhere ELSE whole END AS origin, sum(length(u.u)) AS chars FROM u JOIN o USING (conv_id, u) WHERE level > 0 AND origin < u.turn GROUP BY ALL),
 links AS (SELECT conv_id, turn, origin AS reply_to FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, origin DESC) = 1),
 up AS (SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links UNION ALL SELECT up.conv_id, up.turn, k.reply_to, up.depth + 1 FROM up JOIN links k ON k.conv_id = up.conv_id AND k.turn = up.thread),
+tree AS (SELECT conv_id, reply_to AS turn, [reply_to] AS path FROM links WHERE (conv_id, reply_to) NOT IN (SELECT (conv_id, turn) FROM links) GROUP BY ALL UNION ALL SELECT k.conv_id, k.turn, list_append(tree.path, k.turn) FROM tree JOIN links k ON k.conv_id = tree.conv_id AND k.reply_to = tree.turn),
+placed AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, path[1] ORDER BY path) - 1 AS place FROM tree),
 root AS (SELECT conv_id, turn, arg_max(thread, depth) AS thread, max(depth) AS depth FROM up GROUP BY ALL),
 q AS (SELECT r, max(level) AS quote_level, count(*) FILTER (level > 0) AS n_quoted, regexp_replace(coalesce(string_agg(content, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (regexp_matches(content, '{quotes.ATTRIBUTION}') AND coalesce(next_level, 0) > 0)), ''), '^\n+|\n+$', '', 'g') AS body FROM n GROUP BY r)
-SELECT m.conv_id, m.turn, m.role, k.reply_to, coalesce(root.thread, m.turn) AS thread, CAST(coalesce(root.depth, 0) AS BIGINT) AS depth, CAST(q.quote_level AS INT) AS quote_level, CAST(q.n_quoted AS INT) AS n_quoted, q.body
-FROM m JOIN q USING (r) LEFT JOIN links k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn"""
+SELECT m.conv_id, m.turn, m.role, k.reply_to, coalesce(root.thread, m.turn) AS thread, CAST(coalesce(root.depth, 0) AS BIGINT) AS depth, coalesce(placed.place, 0) AS place, CAST(q.quote_level AS INT) AS quote_level, CAST(q.n_quoted AS INT) AS n_quoted, q.body
+FROM m JOIN q USING (r) LEFT JOIN links k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN root ON root.conv_id = m.conv_id AND root.turn = m.turn LEFT JOIN placed ON placed.conv_id = m.conv_id AND placed.turn = m.turn"""
+OP2_SQL = "WITH RECURSIVE " + _OP2_SQL
+QUOTED_SQL = """WITH RECURSIVE plain AS (SELECT conv_id, turn, min(role) AS role, coalesce(min(text), '') AS text FROM conversations GROUP BY ALL),
+both_ AS (SELECT p.*, a.text AS one, b.text AS two FROM plain p LEFT JOIN plain a ON a.conv_id = p.conv_id AND a.turn = p.turn - 1 LEFT JOIN plain b ON b.conv_id = p.conv_id AND b.turn = p.turn - 2),
+q1 AS (SELECT *, '> ' || replace(one, chr(10), chr(10) || '> ') || chr(10) AS first, '>> ' || replace(two, chr(10), chr(10) || '>> ') || chr(10) AS nested, '> ' || replace(two, chr(10), chr(10) || '> ') || chr(10) AS second FROM both_),
+quoted AS (SELECT conv_id, turn, role, coalesce(CASE turn % 4 WHEN 1 THEN 'On Monday they wrote:' || chr(10) || first WHEN 2 THEN 'On Monday they wrote:' || chr(10) || first || nested WHEN 3 THEN second END, '') || text AS text FROM q1),
+""" + _OP2_SQL.replace("FROM conversations)", "FROM quoted)")
 
 #: The other operators hash, iterate, tokenise or learn in ways that SQL does not have; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "quoted_replies": QUOTED_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}

@@ -10,8 +10,9 @@ from lotwise.llm.common import ascii_lower, materialize, number_array, sized
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Java classes of the characters in and outside words of a text whose case is kept.
 IN, OUT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: The hash filters in front of the join have 2**FILTER_BITS bits each, whatever the size of the benchmark.
-FILTER_BITS = 20
+#: The hash filters in front of the join have about 16 bits a value, from 2**LEAST_BITS to 2**MOST_BITS. A benchmark of more
+#: than some 500,000 windows fills them further, so that more windows reach the join, which alone decides.
+LEAST_BITS, MOST_BITS = 16, 22
 
 
 def test_words(text: Column) -> Column:
@@ -31,21 +32,23 @@ def benchmark_windows(bench: DataFrame, width: int, item_col: str, text_col: str
     return runs.select("item", "n", F.array_join("run", " ").alias("window"), longest.alias("anchor")).distinct()
 
 
-def _bit(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), F.lit(1 << FILTER_BITS))
+class Filter:
+    """A hash filter of the distinct strings of a one-column table, as a constant array: 64 bits a number."""
 
+    def __init__(self, values: DataFrame) -> None:
+        values = values.toDF("value").distinct()
+        self.bits = min(max((16 * values.count()).bit_length(), LEAST_BITS), MOST_BITS)
+        bits = values.select(self._bit(F.col("value")).alias("b")).distinct()
+        grouped = bits.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+        filled = dict(map(tuple, grouped.collect()))  # 2**(MOST_BITS - 6) numbers at most
+        self.table = number_array((filled.get(i, 0) for i in range(1 << (self.bits - 6))), "bigint")
 
-def _filter(values: DataFrame) -> Column:
-    """The hash filter of a one-column table of strings as a constant array: 64 bits a number."""
-    bits = values.select(_bit(F.col(values.columns[0])).alias("b")).distinct()
-    grouped = bits.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
-    filled = dict(map(tuple, grouped.collect()))  # 2**(FILTER_BITS - 6) numbers at most
-    return number_array((filled.get(i, 0) for i in range(1 << (FILTER_BITS - 6))), "bigint")
+    def _bit(self, text: Column) -> Column:
+        return F.pmod(F.xxhash64(text), F.lit(1 << self.bits))
 
-
-def _in(table: Column, text: Column) -> Column:
-    b = _bit(text)
-    return F.getbit(F.get(table, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
+    def may_have(self, text: Column) -> Column:
+        b = self._bit(text)
+        return F.getbit(F.get(self.table, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def find_hits(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -57,9 +60,9 @@ def find_hits(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str =
     """
     windows = materialize(benchmark_windows(bench, width, item_col, item_text_col))
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # ``width`` values at most
-    anchors, whole = _filter(windows.select("anchor")), _filter(windows.select("window"))
+    anchors, whole = Filter(windows.select("anchor")), Filter(windows.select("window"))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), test_words(F.col(text_col)).alias("w"))
-    at = F.filter(F.transform("w", lambda x, i: F.when(_in(anchors, x), i + 1)), lambda i: i.isNotNull())
+    at = F.filter(F.transform("w", lambda x, i: F.when(anchors.may_have(x), i + 1)), lambda i: i.isNotNull())
     rows = rows.select("id", "text_key", "w", F.size("w").alias("size"), at.alias("at"))
 
     def around(n: int) -> Column:
@@ -67,7 +70,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str =
         first, last = (lambda i: F.greatest(i - n + 1, F.lit(1))), (lambda i: F.least(i, F.col("size") - n + 1))
         starts = F.transform(F.filter("at", lambda i: first(i) <= last(i)), lambda i: F.sequence(first(i), F.greatest(first(i), last(i))))
         spelt = F.transform(F.array_distinct(F.flatten(starts)), lambda s: F.struct(s.alias("pos"), F.lit(n).alias("n"), F.array_join(F.slice("w", s, n), " ").alias("window")))
-        return F.filter(spelt, lambda x: _in(whole, x["window"]))
+        return F.filter(spelt, lambda x: whole.may_have(x["window"]))
 
     nothing = F.array().cast("array<struct<pos:int,n:int,window:string>>")
     found = F.when(F.size("at") > 0, F.concat(nothing, *map(around, lengths))).otherwise(nothing)
@@ -75,7 +78,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str =
     each = each.select("id", "text_key", "n_words", "j", "f.pos", "f.n", "f.window")
     items = materialize(windows.groupBy("window").agg(F.collect_set("item").alias("items")))
     return (
-        each.join(sized(items), "window", "left")
+        each.join(sized(items, weight=F.size("items")), "window", "left")
         .groupBy("id", "text_key", "n_words")
         .agg(
             F.count_if(F.coalesce("j", F.lit(0)) == 0).alias("n_rows"),
@@ -130,7 +133,8 @@ def decontamination_report(docs: DataFrame, bench: DataFrame, width: int = 10, i
 
 def _joined(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     hit = hits.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "*").drop("id", "text_key")
-    return docs.join(sized(hit), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), how)
+    weight = F.size("__cut") if "__cut" in hit.columns else None
+    return docs.join(sized(hit, weight=weight), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), how)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

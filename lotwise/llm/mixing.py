@@ -127,7 +127,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "
     for the multipliers. Rates become whole copies by passing each cell's rounding error to the next shorter cell,
     so that a source ends within about one short document of its target.
 
-    Columns: id, source, size, source_size, target, copies, taken (copies * size). Rows that share an id and size
+    Columns: id, source, size, source_size, target, copies, taken (copies * size). Rows that share id and text
     share a fate. A document without words has size 0 and one copy. A null or empty source name is a source of its
     own. An empty table gives an empty result. Extra columns are ignored. The same input gives the same result.
     """
@@ -141,11 +141,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "
 
 
 def mix_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit("pick"), F.col(id_col)).alias("pick"))
+    """(id, source, size, pick) of every row; pick orders a cell's rows by a hash of id and text, nulls among them."""
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit("pick"), F.col(id_col), F.col(text_col)).alias("pick"))
 
 
 def with_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """Adds copies to rows that have source, size and pick."""
+    """Adds copies to rows that have source, size and pick. Every row keeps its place in its cell; null sources match null."""
     named = cells.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "base", "cutoff")
     joined = rows.join(sized(named), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")))
     copies = F.col("base") + F.when(F.col("pick") <= F.col("cutoff"), 1).otherwise(0)
@@ -155,14 +156,15 @@ def with_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of the input.
 
-    A row's copies follow from its own source, size and id and a table of cells, so texts are never shuffled
-    while that table is small enough to broadcast.
+    A row's copies follow from its own source, text and id and a table of cells, so texts are never shuffled
+    while that table is small enough to broadcast. A text without words is taken once, a null source is one of its own,
+    rows that share id and text share a fate, and an empty table gives an empty result.
     """
     rows = materialize(mix_rows(docs, id_col, text_col, source_col))
     _, cells = mix_plan(rows, weights)
     own = docs.columns
     key = {c: f"__{c}" for c in ("source", "size", "pick")}
-    wide = docs.withColumns({key["source"]: F.col(source_col), key["size"]: word_count(F.col(text_col)), key["pick"]: F.xxhash64(F.lit("pick"), F.col(id_col))})
+    wide = docs.withColumns({key["source"]: F.col(source_col), key["size"]: word_count(F.col(text_col)), key["pick"]: F.xxhash64(F.lit("pick"), F.col(id_col), F.col(text_col))})
     named = cells.select(F.col("source").alias("__c_source"), F.col("size").alias("__c_size"), F.col("base").alias("__base"), F.col("cutoff").alias("__cutoff"))
     joined = wide.join(sized(named), F.col(key["source"]).eqNullSafe(F.col("__c_source")) & (F.col(key["size"]) == F.col("__c_size")))
     copies = F.col("__base") + F.when(F.col(key["pick"]) <= F.col("__cutoff"), 1).otherwise(0)

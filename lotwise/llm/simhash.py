@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -16,6 +17,8 @@ from lotwise.llm.graph import components
 BITS = 64
 #: Fingerprints that share a tree, on average, before the keys that pick trees get longer.
 PER_TREE = 16
+#: Shards of more codes are dealt again by further bits.
+LARGE = 64
 _BATCH = 1 << 15
 
 
@@ -68,7 +71,7 @@ def insert(tree: list, x: int) -> None:
         node = node[1][d]
 
 
-def link(codes: list[int], radius: int) -> list[tuple[int, int]]:
+def _tree_edges(codes: list[int], radius: int) -> list[tuple[int, int]]:
     """Edges that connect what is within the radius, one for each group that a code meets, not one for each pair.
 
     Every group of codes linked so far has its BK-trees; a code that meets several groups joins them.
@@ -92,6 +95,28 @@ def link(codes: list[int], radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def link(codes: list[int], radius: int, free: int = (1 << BITS) - 1) -> list[tuple[int, int]]:
+    """Edges that connect what is within the radius among codes that agree outside the ``free`` bits.
+
+    A shard of up to LARGE codes goes into BK-trees as it is. A larger one, as an uneven distribution of codes may give,
+    is dealt once more: of radius + 1 parts of the free bits, codes within the radius agree on one.
+    """
+    if len(codes) <= LARGE or free.bit_count() <= radius:
+        return _tree_edges(codes, radius)
+    bits = [i for i in range(BITS) if free >> i & 1]
+    cut = [round(i * len(bits) / (radius + 1)) for i in range(radius + 2)]
+    edges = []
+    for a, b in zip(cut, cut[1:]):
+        part = sum(1 << i for i in bits[a:b])
+        shards = defaultdict(list)
+        for x in codes:
+            shards[x & part].append(x)
+        for shard in shards.values():
+            if len(shard) > 1:
+                edges += link(shard, radius, free & ~part) if len(shard) < len(codes) else _tree_edges(shard, radius)
+    return edges
+
+
 def key_masks(distinct: int, radius: int) -> list[int]:
     """Masks such that codes within the radius agree under at least one (pigeonhole): ``extra`` of ``radius + extra``
     equal blocks of bits, all choices; as many as keep PER_TREE codes or fewer to a key on average."""
@@ -137,7 +162,7 @@ def linked(codes: DataFrame, radius: int) -> DataFrame:
             found += zip(fp[close].tolist(), fp[close + 1].tolist())
             u = fp.view(np.uint64)
             for a, b in zip(start[size > 2].tolist(), end[size > 2].tolist()):
-                found += link(u[a:b].tolist(), radius)
+                found += link(u[a:b].tolist(), radius, ~masks[int(t[a])] & (1 << BITS) - 1)
             at = int(end[-1]) if len(end) else 0
             return [fp[at:], t[at:]], found
         def out(found: list) -> pa.RecordBatch:
@@ -165,7 +190,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     """
     rows = materialize(fingerprints(docs, shingle, id_col, text_col))
     codes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n_copies")))
-    roots = materialize(components(linked(codes.select("fp"), radius)))
+    roots = components(linked(codes.select("fp"), radius))
     known = codes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = materialize(known)
     groups = known.groupBy("root").agg(F.min("first").alias("component_id"))

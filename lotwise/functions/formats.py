@@ -47,3 +47,22 @@ def volume(c: Column | str) -> Column:
 def percent(part: Column | str, whole: Column | str) -> Column:
     part, whole = col(part), col(whole)
     return F.when(whole.isNull() | (whole == 0), "0%").otherwise(F.concat(_fixed(100 * part / whole, 1), F.lit("%")))
+
+
+def number(c: Column | str) -> Column:
+    """A number with Indian grouping and up to three decimals."""
+    c = col(c).cast("double")
+    a = F.round(F.abs(c), 3)
+    decimals = F.regexp_replace(F.substring(_fixed(a - F.floor(a), 3), 2, 4), r"\.?0+$", "")
+    return F.when(c.isNull() | F.isnan(c), DASH).otherwise(F.concat(F.when(c < 0, "-").otherwise(""), indian_digits(F.floor(a)), decimals))
+
+
+def short_date(c: Column | str) -> Column:
+    """01 Jan 2024."""
+    return F.coalesce(F.date_format(col(c), "dd MMM yyyy"), F.lit(DASH))
+
+
+def date(c: Column | str) -> Column:
+    """01 Jan 2024, 05:30 pm."""
+    c = col(c)
+    return F.coalesce(F.concat(F.date_format(c, "dd MMM yyyy, "), F.lower(F.date_format(c, "hh:mm a"))), F.lit(DASH))

@@ -119,7 +119,8 @@ def severities(records: DataFrame) -> DataFrame:
 
 
 def issue_records(records: DataFrame, severity: str | None = None, check: str | None = None, search: str = "") -> DataFrame:
-    """Records with failed checks, worst first: worst severity, sorted list of checks; optionally filtered."""
+    """Records with failed checks, worst first, then in source order: worst severity, sorted list of checks; optionally
+    filtered."""
     rank = lambda s: F.when(s == "critical", 3).when(s == "warning", 2).otherwise(1)
     f = flagged(records).where(F.size("failed") > 0)
     f = f.withColumn("severity_rank", F.array_max(F.transform("failed", lambda x: rank(x["severity"])))).withColumn("labels", F.array_join(F.array_sort(F.transform("failed", lambda x: x["check"])), ","))
@@ -129,4 +130,4 @@ def issue_records(records: DataFrame, severity: str | None = None, check: str |
         f = f.where(F.exists("failed", lambda x: x["check"] == check))
     if search:
         f = f.where(F.lower("normalized_product_name").contains(search.lower()) | F.lower("item_id").contains(search.lower()))
-    return f
+    return f.orderBy(F.col("severity_rank").desc(), "dataset_id", "_sheet_name", "_source_row")

@@ -14,16 +14,32 @@ OTHER = "Other / Uncategorized"
 BASE = "Grocery"
 
 
-def pattern(words: str) -> str:
+def pattern(words: V.Words) -> str:
     """A pattern for any of the words, whole, that Java and RE2 read alike."""
-    return r"\b(?:" + "|".join(re.escape(w).replace(r"\ ", " ").replace(r"\-", "-").replace(r"\&", "&") for w in words.split("|")) + r")\b"
+    plain = lambda w: re.escape(w).replace(r"\ ", " ").replace(r"\-", "-").replace(r"\&", "&")
+    return r"\b(?:" + "|".join(".*".join(map(plain, w.split(" ... "))) for w in words) + r")\b"
 
 
-def has(text: Column, words: str) -> Column:
+def has(text: Column, words: V.Words) -> Column:
     return text.rlike(pattern(words)) if words else F.lit(False)
 
 
-def scrubbed(category: Column | str, none: Sequence[str] = tuple(V.NO_CATEGORIES)) -> Column:
+def ways(match: V.Match, name: Column, brand: Column) -> Column:
+    """Whether a name or brand has what a match asks for, leaving ``without`` and source categories aside."""
+    out = has(name, match.words)
+    if match.brands:
+        out = out | has(brand, match.brands)
+    for also in match.also:
+        one = has(name, also.words)
+        if also.together:
+            one = one & has(name, also.together)
+        if also.without:
+            one = one & ~has(name, also.without)
+        out = out | one
+    return out
+
+
+def scrubbed(category: Column | str, none: Sequence[str] = V.NO_CATEGORIES) -> Column:
     """A source category in lower case; empty if it only names a stock state, a sheet or a lot."""
     raw = F.lower(X.trimmed(category))
     plain = X.single_spaced(F.regexp_replace(raw, r"[()_\-\[\]]", " "))
@@ -32,50 +48,67 @@ def scrubbed(category: Column | str, none: Sequence[str] = tuple(V.NO_CATEGORIES
     return F.when(empty, F.lit("")).otherwise(raw)
 
 
-def keyword_score(text: Column, keywords: str) -> Column:
-    """Summed length of the keywords found; those with \\b as whole words, others anywhere."""
-    parts = [F.when(text.rlike(k) if k.startswith("\\b") else text.contains(k.lower()), len(k)).otherwise(0) for k in keywords.split("|")]
-    return sum(parts[1:], parts[0])
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def keyword_score(keywords: V.Words, text: str, words: str) -> str:
+    r"""SQL of the summed length of the keywords found; those given as \b...\b among the words, others anywhere in the text."""
+    def found(kept: list[str], holds: str) -> str:
+        return f"aggregate(filter(array({', '.join(map(_quoted, kept))}), k -> {holds}), 0, (n, k) -> n + length(k))" if kept else "0"
+    plain, whole = [k for k in keywords if not k.startswith("\\b")], [k[2:-2] for k in keywords if k.startswith("\\b")]
+    return found(plain, f"contains({text}, k)") + " + " + found(whole, f"array_contains({words}, k)")
 
 
-def best_subcategory(text: Column, category: Column, taxonomy: Sequence[tuple[str, str, str]]) -> Column:
-    """The category's best-scoring subcategory; the first on ties or without a hit; null for an unknown category."""
-    out = F.lit(None).cast("string")
+def best_subcategory(text: str, words: str, category: str, taxonomy: Sequence[tuple[str, str, V.Words]]) -> Column:
+    """The category's best-scoring subcategory; the first on ties or without a hit; null for an unknown category. One SQL
+    expression over three columns: a taxonomy has hundreds of keywords, and as many calls would take longer than the job."""
+    cases = []
     for name in dict.fromkeys(c for c, _, _ in taxonomy):
         own = [(s, k) for c, s, k in taxonomy if c == name]
-        scored = F.array(*(F.struct(keyword_score(text, k).alias("score"), F.lit(-i).alias("at"), F.lit(s).alias("sub")) for i, (s, k) in enumerate(own)))
-        out = F.when(category == name, F.array_max(scored)["sub"]).otherwise(out)
-    return out
+        scored = ", ".join(f"named_struct('score', {keyword_score(k, text, words)}, 'at', {-i}, 'sub', {_quoted(s)})" for i, (s, k) in enumerate(own))
+        cases.append(f"WHEN {category} = {_quoted(name)} THEN array_max(array({scored})).sub")
+    return F.expr(f"CASE {' '.join(cases)} END") if cases else F.lit(None).cast("string")
+
+
+def _looked_up(column: str, pairs: dict[str, str]) -> Column:
+    """What a short constant table holds for a column's value; null if nothing."""
+    return F.expr(f"CASE {column} {' '.join(f'WHEN {_quoted(k)} THEN {_quoted(v)}' for k, v in pairs.items())} END") if pairs else F.lit(None).cast("string")
 
 
-def categorize(records: DataFrame, domains: Sequence[V.Rule] = tuple(V.DOMAIN_RULES), foods: Sequence[V.Food] = tuple(V.FOOD_RULES), taxonomy: Sequence[tuple[str, str, str]] = tuple(V.TAXONOMY), raw_map: dict[str, tuple[str, str]] | None = None, ambiguous: str = V.AMBIGUOUS) -> DataFrame:
+def categorize(records: DataFrame, domains: Sequence[V.Rule] = tuple(V.DOMAIN_RULES), foods: Sequence[V.Food] = tuple(V.FOOD_RULES), taxonomy: Sequence[tuple[str, str, V.Words]] = tuple(V.TAXONOMY), raw_map: dict[str, tuple[str, str]] | None = None, ambiguous: V.Words = V.AMBIGUOUS, unlocked: V.Words = V.UNLOCKED) -> DataFrame:
     """Adds normalized_category, subcategory, subcategory_confidence, classification_rule and is_ambiguous.
 
-    An explicit non-grocery category is kept. Else the first domain rule whose words and gate fit decides, else the
+    An explicit category that is not ``unlocked`` is kept. Else the first domain rule whose words and gate fit decides, else the
     first food identity that no other rules out, else the mapped or given source category with its best subcategory
     by keywords, else other. Rules read name, brand and source category only, and are asked once for each combination.
     """
-    return once_for_each(records, ["source_category", "normalized_product_name", "normalized_brand"], lambda r: _by_rules(r, domains, foods, taxonomy, V.RAW_CATEGORIES if raw_map is None else raw_map, ambiguous))
+    return once_for_each(records, ["source_category", "normalized_product_name", "normalized_brand"], lambda r: _by_rules(r, domains, foods, taxonomy, V.RAW_CATEGORIES if raw_map is None else dict(raw_map), ambiguous, unlocked))
 
 
-def _by_rules(records: DataFrame, domains: Sequence[V.Rule], foods: Sequence[V.Food], taxonomy: Sequence[tuple[str, str, str]], raw_map: dict[str, tuple[str, str]], ambiguous: str) -> DataFrame:
-    name, both = F.col("__name"), F.col("__both")
+def _by_rules(records: DataFrame, domains: Sequence[V.Rule], foods: Sequence[V.Food], taxonomy: Sequence[tuple[str, str, V.Words]], raw_map: dict[str, tuple[str, str]], ambiguous: V.Words, unlocked: V.Words) -> DataFrame:
+    name, brand = F.col("__name"), F.lower(X.trimmed("normalized_brand"))
     known = list(dict.fromkeys(c for c, _, _ in taxonomy))
     r = records.withColumns({"__raw": scrubbed("source_category"), "__name": F.lower(X.trimmed("normalized_product_name")), "__both": F.lower(F.trim(F.concat_ws(" ", "normalized_product_name", "normalized_brand")))})
     raw = F.col("__raw")
-    mapped = F.lit(None).cast("struct<cat:string,sub:string>")
-    for key, (cat, sub) in raw_map.items():
-        mapped = F.when(raw == key, F.struct(F.lit(cat).alias("cat"), F.lit(sub or None).cast("string").alias("sub"))).otherwise(mapped)
-    explicit = F.lit(None).cast("string")
-    for cat in known:
-        explicit = F.when((raw == cat.lower()) & ~raw.isin(*raw_map), F.lit(cat)).otherwise(explicit)
-    r = r.withColumns({"__mapped": mapped, "__locked": F.when(explicit != BASE, explicit), "__given": explicit})
+    r = r.withColumns(
+        {
+            "__mapped_cat": _looked_up("__raw", {k: c for k, (c, _) in raw_map.items()}),
+            "__mapped_sub": _looked_up("__raw", {k: c for k, (_, c) in raw_map.items() if c}),
+            "__given": _looked_up("__raw", {c.lower(): c for c in known if c.lower() not in raw_map}),
+            "__words": F.split("__both", r"[^a-z0-9]+"),
+        }
+    )
+    r = r.withColumn("__locked", F.when(~F.col("__given").isin(*unlocked), F.col("__given")))
 
     domain = F.lit(None).cast("struct<rule:string,cat:string,sub:string>")
     for rule in reversed(domains):
-        fits = has(name, rule.words) & ~has(name, rule.without)
+        fits = ways(rule.match, name, brand)
+        if rule.match.sources:
+            fits = fits | raw.isin(*rule.match.sources)
+        fits = fits & ~has(name, rule.match.without)
         if rule.gate is not None:
-            fits = fits & raw.isin(*rule.gate.split("|"))
+            fits = fits & raw.isin(*rule.gate)
         sub = F.lit(rule.otherwise)
         for s, words in reversed(rule.subcategories):
             sub = F.when(has(name, words), F.lit(s)).otherwise(sub)
@@ -85,18 +118,24 @@ def _by_rules(records: DataFrame, domains: Sequence[V.Rule], foods: Sequence[V.F
     # food identities depend on earlier ones: one projection for each that is needed
     flags: dict[str, str] = {}
     for i, food in enumerate(foods):
-        fits = has(name, food.words) & ~has(name, food.without)
-        for other in filter(None, food.not_if.split("|")):
+        fits = ways(food.match, name, brand)
+        if food.match.sources:
+            given = raw.isin(*food.match.sources)
+            for other in food.sources_not_if:
+                given = given & ~F.col(flags[other])
+            fits = fits | given
+        fits = fits & ~has(name, food.match.without)
+        for other in food.not_if:
             fits = fits & ~F.col(flags[other])
         flags[food.subcategory] = f"__f{i}"
         r = r.withColumn(f"__f{i}", fits)
     food_sub = F.coalesce(*(F.when(F.col(flags[f.subcategory]), F.lit(f.subcategory)) for f in foods)) if foods else F.lit(None).cast("string")
     r = r.withColumn("__food", food_sub)
 
-    main = F.coalesce(F.when(F.col("__food").isNotNull(), F.lit(BASE)), F.col("__mapped.cat"), F.col("__given"), F.when(raw != "", X.title_at_boundaries("source_category")), F.lit(OTHER))
+    main = F.coalesce(F.when(F.col("__food").isNotNull(), F.lit(BASE)), F.col("__mapped_cat"), F.col("__given"), F.when(raw != "", X.title_at_boundaries("source_category")), F.lit(OTHER))
     r = r.withColumn("__main", F.coalesce("__locked", "__domain.cat", main))
-    keyword = F.coalesce(best_subcategory(both, F.col("__main"), taxonomy), F.lit("General"))
-    sub = F.when(F.col("__locked").isNotNull(), keyword).otherwise(F.coalesce("__domain.sub", "__food", "__mapped.sub", keyword))
+    keyword = F.coalesce(best_subcategory("__both", "__words", "__main", taxonomy), F.lit("General"))
+    sub = F.when(F.col("__locked").isNotNull(), keyword).otherwise(F.coalesce("__domain.sub", "__food", "__mapped_sub", keyword))
     r = r.withColumn("__sub", sub)
     sure = F.col("__locked").isNotNull() | F.col("__domain").isNotNull()
     general = F.col("__sub").isin("General", "General Staples")

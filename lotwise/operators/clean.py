@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.functions import text as X, units as U
+from lotwise.sources.grid import back_fill
 from lotwise.operators.status import NON_SELLABLE, SELLABLE, has_signal
 
 #: What a sheet's name says about its stock, in the order in which it is asked.
@@ -37,7 +38,13 @@ def sheet_kind(sheet: Column | str) -> Column:
 
 
 def with_missing(records: DataFrame) -> DataFrame:
+    """Records with all columns that cleaning reads. Blank ones are filled from the raw cells of like headers, if there
+    are raw cells, and a blank item type from the type."""
     have = set(records.columns)
+    if "_raw" in have:
+        records = back_fill(records, *(c for c in OPTIONAL if c in have and not c.endswith("_hint")))
+    if {"item_type", "type"} <= have:
+        records = records.withColumn("item_type", F.coalesce(F.when(X.trimmed("item_type") != "", F.col("item_type")), "type"))
     out = records.withColumns({c: F.lit(None).cast("string") for c in OPTIONAL if c not in have})
     return out if "value_is_numeric" in have else out.withColumn("value_is_numeric", F.lit(False))
 

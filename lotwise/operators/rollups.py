@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lotwise.sources.tables import shared_table
+
 
 def measures(sku: str = "product_family_id") -> list[Column]:
     return [
@@ -74,30 +76,58 @@ def category_summary(records: DataFrame, sku: str = "product_family_id") -> Data
     return of.withColumns({"share_of_level": share(W.partitionBy("level")), "share_of_category": F.when(F.col("g") == 0, share(W.partitionBy("level", "normalized_category")))}).drop("g")
 
 
+def _bar(metric: str, most: str) -> Column:
+    return F.when(F.col(most) > 0, F.greatest(F.lit(4.0), F.least(F.lit(100.0), F.round(100 * F.col(metric) / F.col(most), 1)))).otherwise(4.0)
+
+
+def _share(metric: str, total: str) -> Column:
+    return F.when(F.col(total) != 0, F.round(100 * F.col(metric) / F.col(total), 2)).otherwise(0.0)
+
+
+#: Ranges of a metric within which groups are numbered.
+RANGES = 64
+
+
 def ranked(rolled: DataFrame, metric: str, key: str, descending: bool = True) -> DataFrame:
-    """Adds rank, share of the total, and the bar width (share of the largest, 4 to 100). Ties go by key."""
-    every = W.partitionBy(F.lit(1))
+    """Adds rank, share of the total, and the bar width (share of the largest, 4 to 100). Ties go by key.
+
+    Groups are numbered within ranges of the metric, and each range starts where those before it end: no task sorts all
+    groups. Totals, ranges and their sizes are one row or RANGES rows at most.
+    """
+    rolled = shared_table(rolled)
+    at = F.percentile_approx(metric, F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 1000)
+    whole = rolled.agg(F.sum(metric).alias("__total"), F.max(metric).alias("__most"), F.coalesce(at, F.array().cast(f"array<{rolled.schema[metric].dataType.simpleString()}>")).alias("__at"))
+    above = F.size(F.filter("__at", lambda t: t >= F.col(metric) if descending else t < F.col(metric)))
+    # a null metric sorts as the order has it: last when descending, first when ascending
+    part = F.when(F.col(metric).isNull(), RANGES if descending else -1).otherwise(above)
+    dealt = rolled.crossJoin(F.broadcast(whole)).withColumn("__part", part)  # one row of totals
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     order = [F.col(metric).desc() if descending else F.col(metric).asc(), F.col(key).asc()]
-    width = F.when(F.max(metric).over(every) > 0, F.greatest(F.lit(4.0), F.least(F.lit(100.0), F.round(100 * F.col(metric) / F.max(metric).over(every), 1)))).otherwise(4.0)
-    return rolled.withColumns(
-        {
-            "rank": F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)),
-            "share": F.when(F.sum(metric).over(every) != 0, F.round(100 * F.col(metric) / F.sum(metric).over(every), 2)).otherwise(0.0),
-            "bar": width,
-        }
-    )
+    r = dealt.join(F.broadcast(before), "__part").withColumn("rank", (F.row_number().over(W.partitionBy("__part").orderBy(*order)) + F.col("__before")).cast("int"))
+    return r.withColumns({"share": _share(metric, "__total"), "bar": _bar(metric, "__most")}).drop("__part", "__before", "__total", "__most", "__at")
 
 
 def top(records: DataFrame, by: str, metric: str = "value", k: int = 10, descending: bool = True, sku: str = "product_family_id") -> DataFrame:
-    """The first k groups by a metric, with how many groups there are."""
-    return ranked(rollup_by(records, by, sku=sku), metric, by, descending).withColumn("groups", F.count("*").over(W.partitionBy(F.lit(1)))).where(F.col("rank") <= k)
+    """The first k groups by a metric, with rank, share, bar as ranked gives them and how many groups there are.
+
+    Each task keeps its first k groups; only those are sorted together."""
+    rolled = shared_table(rollup_by(records, by, sku=sku))
+    whole = rolled.agg(F.sum(metric).alias("__total"), F.max(metric).alias("__most"), F.count("*").alias("groups"))
+    order = [F.col(metric).desc() if descending else F.col(metric).asc(), F.col(by).asc()]
+    first = rolled.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))  # k rows
+    r = first.crossJoin(F.broadcast(whole))  # one row of totals
+    return r.withColumns({"share": _share(metric, "__total"), "bar": _bar(metric, "__most")}).drop("__total", "__most")
 
 
 def top_and_other(rolled: DataFrame, key: str, metric: str, k: int = 4) -> DataFrame:
     """The first k rows by a metric, and the rest summed as Other, with how many they are."""
-    r = rolled.withColumn("__rn", F.row_number().over(W.orderBy(F.col(metric).desc(), F.col(key).asc())))
-    name = F.when(F.col("__rn") <= k, F.col(key)).otherwise("Other")
-    return r.groupBy(name.alias(key)).agg(F.round(F.sum(metric), 2).alias(metric), F.count("*").alias("members"))
+    rolled = shared_table(rolled)
+    first = rolled.orderBy(F.col(metric).desc(), F.col(key).asc()).limit(k)
+    kept = first.select(key, F.round(metric, 2).alias(metric), F.lit(1).cast("long").alias("members"))
+    part = lambda df, m, n: df.agg(F.coalesce(F.sum(metric), F.lit(0.0)).alias(m), F.count("*").alias(n))
+    rest = part(rolled, "all", "n").crossJoin(part(first, "top", "m")).where("n > m")  # one row each
+    return kept.unionByName(rest.select(F.lit("Other").alias(key), F.round(F.col("all") - F.col("top"), 2).alias(metric), (F.col("n") - F.col("m")).alias("members")))
 
 
 def brand_variants(records: DataFrame, brand: str) -> DataFrame:

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.functions import text as X
+from lotwise.functions.units import strip_price
 from lotwise.sources.tables import once_for_each
 
 #: Words and phrases of a status, as they read after X.status_text.
 SELLABLE = (
-    "saleable,salable,sellable,active,active stock,activestock,good,good condition,goodcondition,available,available stock,availablestock,usable,usable stock,"
-    "in stock,instock,prime,sound,fresh,standard,ok,ready for sale,ready to sell,serviceable,normal,sellable inventory,saleable inventory"
-).split(",")
+    "saleable", "salable", "sellable", "active", "active stock", "activestock", "good", "good condition", "goodcondition", "available", "available stock", "availablestock", "usable", "usable stock",
+    "in stock", "instock", "prime", "sound", "fresh", "standard", "ok", "ready for sale", "ready to sell", "serviceable", "normal", "sellable inventory", "saleable inventory",
+)
 NON_SELLABLE = (
-    "non saleable,nonsaleable,non saleable stock,nonsaleable stock,non saleable inventory,non sellable,non sellable stock,non sellable inventory,"
-    "unsellable,unsaleable,non active,inactive,unserviceable"
-).split(",")
+    "non saleable", "nonsaleable", "non saleable stock", "nonsaleable stock", "non saleable inventory", "non sellable", "non sellable stock", "non sellable inventory",
+    "unsellable", "unsaleable", "non active", "inactive", "unserviceable",
+)
 #: A word directly in front of a signal that takes it back.
-NEGATIONS = "no not non un never without nil zero".split()
+NEGATIONS = ("no", "not", "non", "un", "never", "without", "nil", "zero")
 #: What sheet names say.
 SHEET_NON_SELLABLE = ["non saleable", "nonsaleable", "non-saleable", "non sellable", "unsellable", "unsaleable"]
 SHEET_SELLABLE_IS = ["saleable", "salable", "sellable"]
@@ -99,8 +100,10 @@ def row_filter(records: DataFrame, column: str = "inventory_status") -> DataFram
     return records.withColumn("row_status", F.when(bad, "non_sellable").when(good, "sellable").when(sheet_bad, "non_sellable").otherwise("sellable"))
 
 
-def kept_rows(records: DataFrame) -> DataFrame:
-    return row_filter(records).where("row_status = 'sellable'").withColumn("Remark", F.lit("Saleable"))
+def kept_rows(records: DataFrame, strip_prices: tuple[str, ...] = ()) -> DataFrame:
+    """The rows that can be sold, marked so; embedded prices go from the given variant and pack columns."""
+    kept = row_filter(records).where("row_status = 'sellable'").withColumn("Remark", F.lit("Saleable"))
+    return kept.withColumns({c: F.when(F.col(c).isNotNull(), strip_price(c)) for c in strip_prices}) if strip_prices else kept
 
 
 def removed_rows(records: DataFrame) -> DataFrame:

@@ -28,19 +28,35 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-#: Stage tables that this application has written, by (application, folder, stage).
-_written: dict[tuple[str, str, str], DataFrame] = {}
+#: Stage tables that this application has written, by (application, stage, state of the input files).
+_written: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """Paths, sizes and times of the files that the inventory is made from."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for name in ("lineitem", "part", "supplier", "nation"):
+        path = path_of(f"{sf}/{name}.parquet")
+        for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+            out.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def stage_table(name: str) -> Callable[[Query], Query]:
-    """A stage of the pipeline is written once for each application and input folder and then read: later queries
-    prune its columns and push filters into its files instead of repeating its rules."""
+    """A stage of the pipeline is written once for each application and state of the input files and then read: later
+    queries prune its columns and push filters into its files instead of repeating its rules. Changed input or a
+    cleared folder means writing it again."""
     def wrap(f: Query) -> Query:
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            key = (spark.sparkContext.applicationId, sf, name)
-            if key not in _written:
-                _written[key] = tables.shared_table(f(spark, sf))
-            return _written[key]
+            key = (spark.sparkContext.applicationId, name, _state(spark, sf))
+            if key in _written:
+                path = spark._jvm.org.apache.hadoop.fs.Path(_written[key][0])
+                if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                    return _written[key][1]
+            table = tables.shared_table(f(spark, sf))
+            _written[key] = (table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else "/", table)
+            return table
         return run
     return wrap
 
@@ -71,11 +87,13 @@ def link(categorized: DataFrame) -> DataFrame:
 
 def pipeline(records: DataFrame) -> DataFrame:
     """Mapped records through every stage: clean, status, category, brand, family, variant."""
+    if "weight_unit_hint" in records.columns:
+        records = grid.with_weight_units(records)
     clean = tables.shared_table(cleaner.clean(records))
     return link(tables.shared_table(category.categorize(status.resolve_status(clean))))
 
 
-@query()
+@query(R.with_family("SELECT dataset_id, _source_row, status, normalized_category, subcategory, canonical AS normalized_brand, product_family_id, product_variant_id FROM pv"))
 def full_pipeline(spark, sf):
     """Everything from the dirty rows on, reusing nothing."""
     return pipeline(inventory(spark, sf)).select("dataset_id", "_source_row", "status", "normalized_category", "subcategory", "normalized_brand", "product_family_id", "product_variant_id")
@@ -291,27 +309,33 @@ def merged_brands(spark, sf):
     return brands.merge_brands(brands.brand_master(categorized(spark, sf)), merges).drop("raw_brand_names")
 
 
-@query()
+@query(R.with_family("SELECT product_family_id, arg_min(normalized_product_name, _source_row) AS name, count(*) AS record_count, count(DISTINCT product_variant_id) AS variant_count, round(sum(qty), 2) AS total_qty, round(sum(source_value), 2) AS total_value, round(sum(total_weight), 3) AS total_weight FROM pv GROUP BY 1"))
 def product_families(spark, sf):
     return products.families(grouped(spark, sf))
 
 
-@query()
+@query(R.with_family("SELECT product_variant_id, product_family_id, min(normalized_uom) AS uom, min(variant_mrp) AS mrp, count(*) AS record_count, round(sum(qty), 2) AS total_qty, round(sum(source_value), 2) AS total_value FROM pv GROUP BY ALL"))
 def product_variants(spark, sf):
     return products.variants(grouped(spark, sf))
 
 
-@query()
+@query(R.with_family(f"SELECT product_variant_id, CASE WHEN count(DISTINCT {R.MASS_LABEL}) > 1 THEN 'Mixed sources' ELSE min({R.MASS_LABEL}) END AS provenance FROM pv GROUP BY 1"))
 def variant_mass_provenance(spark, sf):
     return rollups.mass_provenance(grouped(spark, sf))
 
 
-@query()
+@query(R.with_family(f", r AS (SELECT *, {R.MASS_LABEL} AS label FROM pv WHERE canonical = 'Brand 3'), v AS (SELECT product_family_id, product_variant_id, normalized_uom, round(sum(qty), 2) AS units, round(sum(source_value), 2) AS value, CASE WHEN count(DISTINCT label) > 1 THEN 'Mixed sources' ELSE min(label) END AS mass FROM r GROUP BY ALL), n AS (SELECT product_family_id, arg_min(normalized_product_name, _source_row) AS name FROM r GROUP BY 1) SELECT product_family_id, n.name, count(*) OVER w AS variant_count, round(sum(units) OVER w, 2) AS units, round(sum(value) OVER w, 2) AS value, normalized_uom, v.units AS variant_units, v.value AS variant_value, mass FROM v JOIN n USING (product_family_id) WINDOW w AS (PARTITION BY product_family_id)"))
 def brand_family_tree(spark, sf):
-    return rollups.brand_variants(grouped(spark, sf), "Brand 3")
+    tree = rollups.brand_variants(grouped(spark, sf), "Brand 3").withColumn("v", F.explode("variants"))
+    return tree.select("product_family_id", "name", "variant_count", "units", "value", "v.normalized_uom", F.col("v.units").alias("variant_units"), F.col("v.value").alias("variant_value"), "v.mass")
+
+
+@query(R.with_family("SELECT _source_row, CASE WHEN row_number() OVER (PARTITION BY product_family_id ORDER BY dataset_id, _sheet_name, _source_row) = 1 THEN 'new' WHEN ki IS NOT NULL AND row_number() OVER (PARTITION BY ki ORDER BY dataset_id, _sheet_name, _source_row) > 1 THEN 'item_id' WHEN ku IS NOT NULL AND row_number() OVER (PARTITION BY ku ORDER BY dataset_id, _sheet_name, _source_row) > 1 THEN 'upc' ELSE 'name_tokens' END AS grouping_method FROM pv"))
+def grouping_methods(spark, sf):
+    return grouped(spark, sf).select("_source_row", "grouping_method")
 
 
-@query(R.with_clean(r"""SELECT DISTINCT normalized_product_name, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(trim(normalized_product_name)), '[-_]', ' ', 'g'), '\s+'), lambda w: regexp_matches(w, '^(\d+\.\d+|pro|max|plus|ultra|lite|se|gt|gen2|gen3|mk2|mkii|2024|2025|2026)$')))), ' ') AS model FROM cl"""))
+@query(R.with_clean(r"""SELECT DISTINCT normalized_product_name, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(trim(normalized_product_name)), '[-_]', ' ', 'g'), '\s+'), lambda w: regexp_matches(w, '""" + X.MODEL_WORD + """')))), ' ') AS model FROM cl"""))
 def model_tokens(spark, sf):
     n = "normalized_product_name"
     return cleaned(spark, sf).select(n, F.array_join(X.model_tokens(n), " ").alias("model")).distinct()
@@ -366,7 +390,10 @@ def duplicate_items(spark, sf):
 
 # --- business reporting --------------------------------------------------------------------------------------------
 
-_bucket = R.case([(f"starts_with(lower(trim(_sheet_name)), {R.q(V.BUCKETS[0].sheets)})", R.q(V.BUCKETS[0].name)), *((f"lower(trim(_sheet_name)) IN ({', '.join(map(R.q, b.sheets.split('|')))}) AND {R.has('lower(normalized_product_name)', b.words)} AND NOT {R.has('lower(normalized_product_name)', b.without)}", R.q(b.name)) for b in V.BUCKETS[1:])])
+_bucket = R.case([
+    (f"starts_with(lower(trim(_sheet_name)), {R.q(V.BUCKETS[0].sheets[0])})", R.q(V.BUCKETS[0].name)),
+    *((f"{R.one_of('lower(trim(_sheet_name))', b.sheets)} AND {R.ways(b.match, 'lower(normalized_product_name)', 'lower(normalized_brand)')} AND NOT {R.has('lower(normalized_product_name)', b.match.without)}", R.q(b.name)) for b in V.BUCKETS[1:]),
+])
 _spec = ", ".join(f"({R.q(b.name)}, {float(b.target)})" for b in V.BUCKETS)
 
 
@@ -380,7 +407,7 @@ def scope_summary(spark, sf):
     return business.scopes(cleaned(spark, sf))
 
 
-_alias = ", ".join(f"({R.q(a)}, {R.q(b.name)}, {i})" for i, b in enumerate(V.BUCKETS) for a in sorted({b.name.lower(), *b.aliases.split("|")}))
+_alias = ", ".join(f"({R.q(a)}, {R.q(b.name)}, {i})" for i, b in enumerate(V.BUCKETS) for a in sorted({b.name.lower(), *b.aliases}))
 
 
 def _sides() -> str:
@@ -442,14 +469,20 @@ def facet_lists(spark, sf):
     return search.facets(categorized(spark, sf), "normalized_category", "normalized_warehouse", "status")
 
 
-@query()
+@query(R.with_category(R.ENTITIES + """
+, h AS (SELECT w.term, e.kind, e.name, CASE WHEN w.t = e.norm THEN e.rank WHEN e.rank = 2 AND NOT contains(e.norm, ' ') AND NOT """ + R.one_of("e.norm", search.GENERIC) + """ THEN 5 WHEN e.rank = 3 THEN 6 WHEN e.rank = 1 THEN 7 WHEN e.rank = 9 THEN 9 END AS level, w.place, length(e.norm) AS k FROM tw w JOIN en e ON string_split(e.norm, ' ')[1] = w.w WHERE contains(' ' || w.t || ' ', ' ' || e.norm || ' ')
+  UNION ALL SELECT w.term, e.kind, e.name, 8, w.place, 0 FROM tw w JOIN (SELECT *, unnest(list_distinct(string_split(norm, ' '))) AS b FROM en WHERE rank = 4) e ON e.b = w.w WHERE NOT """ + R.one_of("w.w", search.GENERIC) + """ AND (length(w.w) >= 3 OR e.norm = w.w))
+SELECT term, kind, name, CAST(level AS INT) AS rank FROM h WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term ORDER BY level, CASE WHEN level IN (5, 8) THEN place ELSE 0 END, CASE WHEN level IN (6, 7) THEN -k ELSE 0 END, name) = 1"""))
 def entity_resolution(spark, sf):
     r = categorized(spark, sf)
     known = tables.shared_table(search.entities(r))
     return search.resolve(r.select(F.concat_ws(" ", "normalized_brand", "subcategory").alias("term")).distinct(), known)
 
 
-@query()
+@query(R.with_category(R.ENTITIES + """
+, h AS (SELECT w.term, w.t, e.name AS brand, e.norm FROM tw w JOIN en e ON e.kind = 'brand' AND string_split(e.norm, ' ')[1] = w.w WHERE contains(' ' || w.t || ' ', ' ' || e.norm || ' ')),
+m AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(norm) DESC, brand DESC) = 1)
+SELECT term, brand, trim(regexp_replace(replace(' ' || t || ' ', ' ' || norm || ' ', ' '), '\\s+', ' ', 'g')) AS rest FROM m"""))
 def phrase_split(spark, sf):
     r = categorized(spark, sf)
     return search.split_phrase(r.select(F.concat_ws(" ", "normalized_brand", "subcategory").alias("term")).distinct(), tables.shared_table(search.entities(r)))
@@ -458,6 +491,16 @@ def phrase_split(spark, sf):
 # --- tables and exports --------------------------------------------------------------------------------------------
 
 
+@query(R.with_category("SELECT 'Total Records' AS metric, CAST(count(*) AS DOUBLE) AS value FROM cat UNION ALL SELECT 'Total Units', round(sum(qty), 3) FROM cat UNION ALL SELECT 'Total Valuation (INR)', round(sum(source_value), 3) FROM cat UNION ALL SELECT 'Total Weight (KG)', round(sum(total_weight), 3) FROM cat UNION ALL SELECT 'Categories Count', count(DISTINCT normalized_category) FROM cat UNION ALL SELECT 'Brands Count', count(DISTINCT normalized_brand) FROM cat UNION ALL SELECT normalized_category, round(sum(source_value), 2) FROM cat GROUP BY 1"))
+def export_summary(spark, sf):
+    return exports.summary_block(categorized(spark, sf)).select("metric", "value")
+
+
+@query(R.with_category(f", r AS (SELECT normalized_category, subcategory, grouping(normalized_category, subcategory) AS g, {R.MEASURES} FROM cat GROUP BY ROLLUP (normalized_category, subcategory)), s AS (SELECT *, round(100 * value / sum(value) OVER (PARTITION BY g), 2) AS share FROM r) SELECT 'categories' AS section, normalized_category AS category, NULL AS subcategory, records, units, value, weight, volume, skus, brands, share FROM s WHERE g = 1 UNION ALL SELECT 'subcategories', normalized_category, subcategory, records, units, value, weight, volume, skus, brands, share FROM s WHERE g = 0 UNION ALL SELECT x.section, 'GRAND TOTAL', NULL, records, units, value, weight, volume, skus, brands, 100.0 FROM s, (VALUES ('categories'), ('subcategories')) x(section) WHERE g = 3"))
+def category_report(spark, sf):
+    return exports.category_report(tables.shared_table(rollups.category_summary(categorized(spark, sf), SKU)))
+
+
 @query(R.with_category("SELECT dataset_id, count(*) AS n FROM cat GROUP BY 1"))
 def dataset_counts(spark, sf):
     return categorized(spark, sf).groupBy("dataset_id").agg(F.count("*").alias("n"))
@@ -537,7 +580,7 @@ def missing_columns(spark, sf):
     return grid.missing_columns(grid.detect_headers(grid.sheets_of_records(sheet_grid(spark, sf))))
 
 
-@query()
+@query(f"WITH inv AS ({INVENTORY_SQL}), c AS (SELECT dataset_id, TRY_CAST(replace(weight, ',', '') AS DOUBLE) AS bare, {R.amount('variant_uom_text', 'KG', 'G')} AS named FROM inv), n AS (SELECT dataset_id, count(*) FILTER (bare > 0 AND named IS NOT NULL) AS checked, count(*) FILTER (bare > 0 AND abs(bare - named) < 1e-3) AS agreed FROM c GROUP BY 1) SELECT *, CASE WHEN checked >= 5 AND agreed >= 0.8 * checked THEN 'KG' END AS weight_unit FROM n")
 def weight_unit(spark, sf):
     return grid.infer_weight_unit(inventory(spark, sf))
 

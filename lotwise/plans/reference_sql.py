@@ -146,19 +146,33 @@ st AS (SELECT *, bad IS NOT NULL AND good IS NOT NULL AS is_status_conflict,
   CASE WHEN bad IS NOT NULL AND good IS NOT NULL THEN 'semantic_status_conflict' WHEN bad IS NOT NULL THEN 'explicit_row_non_sellable' WHEN good IS NOT NULL THEN 'explicit_row_sellable' WHEN sheet_says IS NOT NULL THEN 'sheet_context_' || sheet_says ELSE 'default_sellable' END AS status_rule FROM s1)"""
 
 
-def has(x: str, words: str) -> str:
+def has(x: str, words: V.Words) -> str:
     return f"regexp_matches({x}, {q(pattern(words))})" if words else "false"
 
 
-def _score(x: str, keywords: str) -> str:
-    return " + ".join(f"CASE WHEN {f'regexp_matches({x}, {q(k)})' if k.startswith(chr(92)) else f'contains({x}, {q(k.lower())})'} THEN {len(k)} ELSE 0 END" for k in keywords.split("|"))
+def ways(m: V.Match, name: str, brand: str) -> str:
+    parts = [has(name, m.words), has(brand, m.brands)]
+    for a in m.also:
+        parts.append(" AND ".join([has(name, a.words), *([has(name, a.together)] if a.together else []), f"NOT {has(name, a.without)}"]))
+    return "(" + " OR ".join(f"({p})" for p in parts) + ")"
+
+
+def one_of(x: str, values: V.Words) -> str:
+    return f"{x} IN ({', '.join(map(q, values))})" if values else "false"
+
+
+def _score(keywords: V.Words) -> str:
+    def found(kept: list[str], holds: str) -> str:
+        return f"coalesce(list_sum(list_transform(list_filter([{', '.join(map(q, kept))}], lambda k: {holds}), lambda k: length(k))), 0)" if kept else "0"
+    plain, whole = [k for k in keywords if not k.startswith(chr(92))], [k[2:-2] for k in keywords if k.startswith(chr(92))]
+    return found(plain, "contains(both_text, k)") + " + " + found(whole, "list_contains(both_words, k)")
 
 
 def _best() -> str:
     out = []
     for cat in dict.fromkeys(c for c, _, _ in V.TAXONOMY):
         own = [(s, k) for c, s, k in V.TAXONOMY if c == cat]
-        scored = ", ".join(f"{{'score': {_score('both_text', k)}, 'at': {-i}, 'sub': {q(s)}}}" for i, (s, k) in enumerate(own))
+        scored = ", ".join(f"{{'score': {_score(k)}, 'at': {-i}, 'sub': {q(s)}}}" for i, (s, k) in enumerate(own))
         out.append((f"main = {q(cat)}", f"list_max([{scored}]).sub"))
     return f"coalesce({case(out)}, 'General')"
 
@@ -166,26 +180,31 @@ def _best() -> str:
 _none = ", ".join(map(q, V.NO_CATEGORIES))
 _plain = spaced(rf"regexp_replace(raw0, '[()_\-\[\]]', ' ', 'g')")
 _known = list(dict.fromkeys(c for c, _, _ in V.TAXONOMY))
-_rules = [(f"{has('name_text', r.words)} AND NOT {has('name_text', r.without)}" + (f" AND raw IN ({', '.join(map(q, r.gate.split('|')))})" if r.gate is not None else ""), r) for r in V.DOMAIN_RULES]
+_rules = [
+    (f"({ways(r.match, 'name_text', 'brand_text')} OR {one_of('raw', r.match.sources)}) AND NOT {has('name_text', r.match.without)}" + (f" AND {one_of('raw', r.gate)}" if r.gate is not None else ""), r)
+    for r in V.DOMAIN_RULES
+]
 _flag = {f.subcategory: f"f{i}" for i, f in enumerate(V.FOOD_RULES)}
 _foods = ""
 _last = "k2"
 for _i, _f in enumerate(V.FOOD_RULES):
-    _not = "".join(f" AND NOT {_flag[o]}" for o in _f.not_if.split("|") if o)
-    _foods += f", z{_i} AS (SELECT *, {has('name_text', _f.words)} AND NOT {has('name_text', _f.without)}{_not} AS f{_i} FROM {_last})"
+    _given = " AND ".join([one_of("raw", _f.match.sources), *(f"NOT {_flag[o]}" for o in _f.sources_not_if)])
+    _not = "".join(f" AND NOT {_flag[o]}" for o in _f.not_if)
+    _foods += f", z{_i} AS (SELECT *, ({ways(_f.match, 'name_text', 'brand_text')} OR ({_given})) AND NOT {has('name_text', _f.match.without)}{_not} AS f{_i} FROM {_last})"
     _last = f"z{_i}"
 
 CATEGORY_SQL = rf"""{STATUS_SQL},
-k0 AS (SELECT *, lower({trim('source_category')}) AS raw0, lower({trim('normalized_product_name')}) AS name_text, lower(trim(normalized_product_name || ' ' || normalized_brand)) AS both_text FROM st),
+k0 AS (SELECT *, lower({trim('source_category')}) AS raw0, lower({trim('normalized_product_name')}) AS name_text, lower({trim('normalized_brand')}) AS brand_text, lower(trim(normalized_product_name || ' ' || normalized_brand)) AS both_text FROM st),
 k1 AS (SELECT *, CASE WHEN raw0 IN ({_none}) OR {_plain} IN ({_none}) OR regexp_matches(raw0, '^(sheet\s*\d+|lot[\s-]*\d+)$') OR len(list_filter(string_split({_plain}, ' '), lambda w: NOT (w IN ({_none}) OR regexp_matches(w, '^\d+$')))) = 0 THEN '' ELSE raw0 END AS raw FROM k0),
 k2 AS (SELECT *, {case([(f"raw = {q(k)}", q(c)) for k, (c, _) in V.RAW_CATEGORIES.items()])} AS mapped_cat, {case([(f"raw = {q(k)}", q(s) if s else 'NULL') for k, (_, s) in V.RAW_CATEGORIES.items()])} AS mapped_sub,
   {case([(f"raw = {q(c.lower())} AND raw NOT IN ({', '.join(map(q, V.RAW_CATEGORIES))})", q(c)) for c in _known])} AS given,
   {case([(c, q(r.name)) for c, r in _rules])} AS d_rule, {case([(c, q(r.category)) for c, r in _rules])} AS d_cat,
   {case([(c, case([(has('name_text', w), q(s)) for s, w in r.subcategories], q(r.otherwise))) for c, r in _rules])} AS d_sub FROM k1){_foods},
-k3 AS (SELECT *, {case([(f"f{i}", q(f.subcategory)) for i, f in enumerate(V.FOOD_RULES)])} AS food, CASE WHEN given <> 'Grocery' THEN given END AS locked FROM {_last}),
+k3 AS (SELECT *, {case([(f"f{i}", q(f.subcategory)) for i, f in enumerate(V.FOOD_RULES)])} AS food, CASE WHEN NOT {one_of('given', V.UNLOCKED)} THEN given END AS locked FROM {_last}),
 k4 AS (SELECT *, coalesce(locked, d_cat, CASE WHEN food IS NOT NULL THEN 'Grocery' END, mapped_cat, given, CASE WHEN raw <> '' THEN array_to_string(list_transform(regexp_extract_all({spaced('source_category')}, '(\w+|\W+)'), lambda w: upper(w[1:1]) || w[2:]), '') END, 'Other / Uncategorized') AS main FROM k3),
-k5 AS (SELECT *, {_best()} AS keyword FROM k4),
-ct AS (SELECT * EXCLUDE (raw0, raw, both_text, mapped_cat, mapped_sub, given, food, keyword), main AS normalized_category, CASE WHEN locked IS NOT NULL THEN keyword ELSE coalesce(d_sub, food, mapped_sub, keyword) END AS subcategory,
+k5a AS (SELECT *, regexp_split_to_array(both_text, '[^a-z0-9]+') AS both_words FROM k4),
+k5 AS (SELECT *, {_best()} AS keyword FROM k5a),
+ct AS (SELECT * EXCLUDE (raw0, raw, both_text, both_words, brand_text, mapped_cat, mapped_sub, given, food, keyword), main AS normalized_category, CASE WHEN locked IS NOT NULL THEN keyword ELSE coalesce(d_sub, food, mapped_sub, keyword) END AS subcategory,
   regexp_matches(name_text, {q(pattern(V.AMBIGUOUS))}) AS is_ambiguous FROM k5),
 cat AS (SELECT *, CASE WHEN locked IS NOT NULL OR d_rule IS NOT NULL THEN 'HIGH' WHEN main = 'Other / Uncategorized' THEN 'LOW' WHEN subcategory IN ('General', 'General Staples') THEN 'MEDIUM' ELSE 'HIGH' END AS subcategory_confidence,
   CASE WHEN locked IS NOT NULL THEN 'explicit_domain_lock' WHEN d_rule IS NOT NULL THEN d_rule WHEN main = 'Other / Uncategorized' THEN 'default_fallback' WHEN subcategory IN ('General', 'General Staples') THEN 'category_general_fallback' ELSE 'identity_priority_match' END AS classification_rule FROM ct)"""
@@ -194,6 +213,50 @@ _fp = rf"array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_repl
 BRAND_SQL = f"""{CATEGORY_SQL},
 bf AS (SELECT *, CASE WHEN {_fp} <> '' THEN {_fp} ELSE lower(trim(normalized_brand)) END AS brand_fingerprint FROM cat)"""
 
+_bare = lowered("normalized_product_name", r"\s")
+for _p in (rf"\b\d+\s*x\s*\d+(?:\.\d+)?\s*(?:{'|'.join(X.MULTIPACK_UNITS)})\b", rf"\b\d+(?:\.\d+)?\s*(?:{'|'.join(X.SIZE_UNITS)})\b", rf"\((?:{'|'.join(X.PACKAGING)})\)"):
+    _bare = f"regexp_replace({_bare}, {q(_p)}, '', 'g')"
+_bare = spaced(rf"regexp_replace({_bare}, '[-_(),\[\]]', ' ', 'g')")
+_tokens = rf"array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array({_bare}, '\W+'), lambda w: length(w) > 1 AND w NOT IN ({', '.join(map(q, X.NAME_STOP_WORDS))})))), ' ')"
+_model = rf"array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({trim('normalized_product_name')}), '[-_]', ' ', 'g'), '\s+'), lambda w: regexp_matches(w, {q(X.MODEL_WORD)})))), ' ')"
+_text = lambda c: f"coalesce(CAST({c} AS VARCHAR), '')"
+#: Families: keys that share a component, and in a second pass components without a category that join one with the same
+#: brand and words. Reachable pairs of keys are spelt out: components are small here.
+FAMILY_SQL = f"""{BRAND_SQL},
+bm AS (SELECT brand_fingerprint, arg_min(normalized_brand, (CASE WHEN length(normalized_brand) >= 3 THEN length(normalized_brand) ELSE 1073741824 END) * 1000000000000 + _source_row) AS canonical FROM bf GROUP BY 1),
+nm AS (SELECT brand_fingerprint, normalized_category, normalized_product_name, {_tokens} AS tokens, {_model} AS model FROM (SELECT DISTINCT brand_fingerprint, normalized_category, normalized_product_name FROM bf)),
+ks AS (SELECT bf.*, bm.canonical, CASE WHEN {trim('item_id')} <> '' THEN 'i:' || {trim('item_id')} END AS ki, CASE WHEN {trim('upc')} <> '' THEN 'u:' || {trim('upc')} END AS ku,
+  CASE WHEN tokens <> '' THEN 'n:' || sha1(sha1(brand_fingerprint) || '|' || normalized_category || '|' || tokens || '|' || model) END AS kn, CASE WHEN tokens <> '' THEN tokens || '|' || model END AS kw
+  FROM bf JOIN bm USING (brand_fingerprint) JOIN nm USING (brand_fingerprint, normalized_category, normalized_product_name)),
+ed AS (SELECT DISTINCT coalesce(ki, ku, kn) AS a, unnest(list_filter([ki, ku, kn], lambda k: k IS NOT NULL)) AS b FROM ks WHERE coalesce(ki, ku, kn) IS NOT NULL),
+e2 AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+r1(k, l) AS (SELECT a, a FROM e2 UNION SELECT r1.k, e2.b FROM r1 JOIN e2 ON e2.a = r1.l),
+l1 AS (SELECT k, min(l) AS label FROM r1 GROUP BY 1),
+nn AS (SELECT kn, kw, brand_fingerprint AS brand, normalized_category = 'Other / Uncategorized' AS open, min(row(dataset_id, _sheet_name, _source_row)) AS place FROM ks WHERE kn IS NOT NULL GROUP BY ALL),
+nl AS (SELECT nn.*, label FROM nn JOIN l1 ON l1.k = nn.kn),
+fu AS (SELECT label, min(open) AS open, row(min(place), label) AS rank FROM nl GROUP BY label),
+fr AS (SELECT nl.label, nl.open, rank, kw, brand FROM nl JOIN fu ON fu.label = nl.label AND fu.open = nl.open),
+ofr AS (SELECT kw, brand, min(rank) AS best FROM fr WHERE NOT open GROUP BY ALL),
+mo AS (SELECT fr.label AS a, min(best)[2] AS b FROM fr JOIN ofr USING (kw, brand) WHERE fr.open GROUP BY 1),
+e3 AS (SELECT a, b FROM e2 UNION SELECT a, b FROM mo UNION SELECT b, a FROM mo),
+r2(k, l) AS (SELECT a, a FROM e3 UNION SELECT r2.k, e3.b FROM r2 JOIN e3 ON e3.a = r2.l),
+l2 AS (SELECT k, min(l) AS label FROM r2 GROUP BY 1),
+pf AS (SELECT ks.*, sha1(coalesce(label, 'r:' || dataset_id || ':' || _sheet_name || ':row_' || CAST(_source_row AS VARCHAR))) AS product_family_id FROM ks LEFT JOIN l2 ON l2.k = coalesce(ki, ku, kn)),
+pv AS (SELECT *, sha1(product_family_id || '||' || {_text('variant_id')} || '||' || {_text('upc')} || '||' || {_text('normalized_uom')} || '||' || {_text('variant_mrp')}) AS product_variant_id FROM pf)"""
+MASS_LABEL = "CASE weight_source WHEN 'source_total_weight' THEN 'Source total weight' WHEN 'source_unit_weight_qty' THEN 'Unit weight x quantity' WHEN 'derived_mass_uom' THEN 'Pack size x quantity' ELSE CASE WHEN total_volume_l > 0 THEN 'Volume only' ELSE 'Unavailable' END END"
+
+
+def _norm(x: str) -> str:
+    c = rf"regexp_replace(regexp_replace(lower({trim(x)}), '[&/]', ' and ', 'g'), '[^a-z0-9\x{{0900}}-\x{{097F}}\s]', ' ', 'g')"
+    return spaced(rf"regexp_replace({c}, '\band\b', ' ', 'g')")
+
+
+_synonyms = ", ".join(f"({q(kind)}, {q(name)}, 2, {q(term)})" for term, kind, name in V.SYNONYMS)
+#: Terms, their words, and the entities that they may name.
+ENTITIES = f""", tm AS (SELECT DISTINCT normalized_brand || ' ' || subcategory AS term FROM cat), tn AS (SELECT term, {_norm('term')} AS t FROM tm),
+tw AS (SELECT term, t, w, min(place) AS place FROM (SELECT term, t, unnest(string_split(t, ' ')) AS w, unnest(range(len(string_split(t, ' ')))) AS place FROM tn WHERE t <> '') GROUP BY term, t, w),
+en AS (SELECT *, {_norm('said')} AS norm FROM (SELECT DISTINCT 'category' AS kind, normalized_category AS name, 1 AS rank, normalized_category AS said FROM cat UNION ALL SELECT DISTINCT 'subcategory', subcategory, 3, subcategory FROM cat UNION ALL SELECT DISTINCT 'brand', normalized_brand, 4, normalized_brand FROM cat UNION ALL SELECT DISTINCT 'warehouse', normalized_warehouse, 9, normalized_warehouse FROM cat UNION ALL VALUES {_synonyms}) WHERE {_norm('said')} <> '')"""
+
 MEASURES = "count(*) AS records, round(sum(qty), 2) AS units, round(sum(source_value), 2) AS value, round(sum(total_weight), 3) AS weight, round(sum(total_volume_l), 3) AS volume, count(DISTINCT item_id) AS skus, count(DISTINCT normalized_brand) AS brands"
 KIND = "CASE WHEN coalesce(raw_bad_inventory_type, '') = '' THEN 'unknown' ELSE lower(raw_bad_inventory_type) END"
 SHEET = lowered("_sheet_name")
@@ -215,6 +278,10 @@ def with_brand(tail: str) -> str:
     return f"WITH {BRAND_SQL} {tail}"
 
 
+def with_family(tail: str) -> str:
+    return f"WITH RECURSIVE {FAMILY_SQL} {tail}"
+
+
 def audit_conditions() -> list[tuple[str, str, str, str]]:
     """Check, dimension, severity, condition over cat joined with dup (item_id counts)."""
     off = "(source_value <> 0 AND variant_mrp <> 0 AND qty <> 0 AND abs(source_value - variant_mrp * qty) > 10 AND abs(source_value - variant_mrp * qty) / greatest(source_value, 1) > 0.05)"

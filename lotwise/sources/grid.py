@@ -6,34 +6,68 @@ sheets make one frame; every operator works on all of them at once.
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotwise.functions import text as X, units as U
+from lotwise.sources.tables import shared_table, sized
 
-#: Canonical columns, each with the header texts that stand for it, best first. Separators in headers count as spaces,
-#: so one spelling covers item_name, item-name and Item Name. Noun and ending lists are multiplied out.
-_THINGS, _NAMES = ["product", "item", "material", "article", "sku"], ["name", "description", "title", "label", "details", "desc"]
+#: Canonical columns, and for each the header texts that stand for it, best first. Headers are compared as
+#: header_text makes them, so one spelling covers item_name, item-name and Item Name.
 ALIASES: dict[str, list[str]] = {
-    "entity_name": ["entity vendor name", "vendor entity name", "vendor name", "entity name", "entity", "warehouse", "location", "store", "wh name", "warehouse name", "dc", "distribution center", "facility", "storage location", "plant", "warehouse location", "depot", "wh"],
-    "item_id": ["item id", "itemid", "sku", *(f"{t} {e}" for t in ("sku", "product", "item", "material", "article") for e in ("id", "code", "number"))],
-    "upc": ["upc", "barcode", "ean", "gtin", "scan upc", "upc code", "barcode no"],
-    "name": ["name", *(f"{t} {n}" for t in _THINGS for n in _NAMES), "product", "article", "item", "description", "title", "material", "style product", "style"],
-    "brand": ["brand", "brand name", "product brand", "manufacturer", "mfr", "make", "vendor", "principal", "principal brand", "mfr brand", "mfr name", "brand label"],
-    "variant_uom_text": ["variant uom text", "uom", "uom text", "unit", "unit of measure", "pack size", "size", "pack text", "weight uom", "pack", "uom code", "pack spec", "packaging"],
-    "variant_mrp": ["variant mrp", "mrp", "price", "selling price", "sp", "unit mrp", "unit price", "rate", "unit rate", "cost", "unit cost", "list price", "rate per unit", "mrp inr", "unit price inr", "rate inr"],
-    "qty": ["qty", "quantity", "units", "units in stock", "inventory", "stock", "stock qty", "available qty", "available stock", "closing stock", "on hand", "net qty", "gross qty", "total units", "total qty", "sum of qty", "sum of quantity", "count", "qty in hand", "qty on hand", "stock on hand", "current stock"],
+    "entity_name": [
+        "entity vendor name", "vendor entity name", "vendor name", "entity name", "entity", "warehouse", "location", "store", "wh name", "warehouse name",
+        "dc", "distribution center", "facility", "storage facility", "storage location", "plant", "warehouse location", "depot", "wh",
+    ],
+    "item_id": [
+        "item id", "itemid", "sku", "sku id", "product id", "itemcode", "item code", "material id", "material code", "sku code",
+        "article code", "articlecode", "material number", "sku number", "mat code",
+    ],
+    "upc": ["upc", "barcode", "ean", "gtin", "scan upc", "scanupc", "upc code", "barcode no"],
+    "name": [
+        "name", "product name", "product description", "product title", "product label", "product", "article", "article name", "item", "item name", "item title", "item description",
+        "description", "title", "sku description", "sku name", "material", "material name", "material description", "style product", "style", "style description",
+        "product details", "item details", "item desc", "prod name",
+    ],
+    "brand": ["brand", "brand name", "product brand", "manufacturer", "mfr", "make", "vendor", "principal", "principal brand", "mfr brand", "manufacturer brand", "mfr name", "brand label"],
+    "variant_uom_text": [
+        "variant uom text", "uom", "uom text", "unit", "unit of measure", "pack size", "size", "pack text", "weight uom", "pack", "uom code", "pack spec", "uom description", "packaging",
+    ],
+    "variant_mrp": [
+        "variant mrp", "mrp", "price", "selling price", "sp", "unit mrp", "unit price", "rate", "unit rate", "cost", "unit cost", "list price", "currency unit rate", "rate per unit",
+        "mrp inr", "unit price inr", "rate inr", "unit rate inr",
+    ],
+    "qty": [
+        "qty", "quantity", "units", "units in stock", "inventory", "stock", "stock qty", "available qty", "available stock", "closing stock", "on hand", "net qty", "gross qty",
+        "total units", "total qty", "sum of qty", "sum of quantity", "count", "qty in hand", "qty on hand", "stock on hand", "current stock", "closing units",
+    ],
     "variant_id": ["variant id", "variant", "sku variant"],
     "item_type": ["item type", "type", "sub type", "stock type", "inventory type", "material type", "product type"],
-    "inventory_status": ["status", "inventory status", "stock status", "item status", "inv status", "quality status", "sellability", "saleability"],
-    "bad_inventory_type": ["bad inventory type", "bad inv type", "damage type", "damage reason", "defect type", "rejection type", "loss type"],
-    "remarks": ["remarks", "remark", "item remarks", "notes", "note", "comments", "comment", "reason", "narrative"],
-    "condition": ["condition", "stock condition", "item condition", "grade", "stock grade", "quality"],
-    "disposition": ["disposition", "item disposition", "action", "action type", "recommended action"],
-    "l0": ["l0", "category", "category name", "product category", "main category", "department", "segment", "group", "division", "domain"],
-    "subcategory": ["subcategory", "sub category", "sub group", "class", "product class", "l1"],
-    "value": ["value", "total value", "amount", "total amount", "inventory value", "stock value", "inv value", "valuation", "extended cost", "extended amount", "line total", "net amount", "val"],
-    "weight": ["weight", "unit weight", "unit weight kg", "item weight", "piece weight", "weight kg", "net weight", "net weight kg", "net wt"],
-    "total_weight": ["total weight", "total weight kg", "totalweight", "gross weight", "gross weight kg", "gross wt", "total wt", "batch weight"],
+    "type": ["type", "item type", "sub type"],
+    "inventory_status": [
+        "status", "inventory status", "stock status", "item status", "inv status", "quality status", "inventory state", "sellability", "saleability", "sellable status", "saleable status",
+    ],
+    "bad_inventory_type": ["bad inventory type", "bad inv type", "damage type", "damage reason", "defect type", "rejection type", "fault type", "loss type"],
+    "remarks": ["remarks", "remark", "item remarks", "notes", "note", "comments", "comment", "reason", "reasons", "narrative", "item notes", "description remarks"],
+    "condition": ["condition", "stock condition", "item condition", "grade", "stock grade", "quality", "quality grade", "item grade"],
+    "disposition": ["disposition", "item disposition", "action", "action type", "recommended action", "lot disposition"],
+    "l0": ["l0", "category", "category name", "product category", "main category", "l0 category", "department", "segment", "group", "division", "domain"],
+    "subcategory": ["subcategory", "sub category", "sub group", "class", "product class", "l1", "l1 category"],
+    "value": [
+        "value", "total value", "amount", "total amount", "inventory value", "stock value", "inv amount", "inv value", "valuation", "total valuation", "extended cost", "extended amount",
+        "total extended amount", "line total", "total inv value", "net valuation", "net amount", "val", "stock val", "valuation amount", "stock valuation", "extended value",
+    ],
+    "weight": [
+        "weight", "unit weight", "unit weight kg", "item weight", "piece weight", "weight kg", "net weight", "net weight kg", "net weight spec", "net wt", "net wt kg", "single weight",
+    ],
+    "total_weight": [
+        "total weight", "total weight kg", "totalweight", "gross weight", "gross weight kg", "gross wt", "gross wt kg", "total wt", "tot weight", "batch weight", "total gross weight",
+    ],
 }
 REQUIRED = ["name"]
 SCANNED = 10
@@ -54,14 +88,24 @@ def alias_table(spark: SparkSession, aliases: dict[str, list[str]] | None = None
     return spark.createDataFrame(rows, "canonical string, header string, rank int")
 
 
-def read_csv_grid(spark: SparkSession, path: str, dataset_id: str, width: int = 64) -> DataFrame:
-    """CSV files as grids, one sheet a file; rows keep their numbers. Files are as small as admission lets them be."""
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("_sheet_name"), F.posexplode(F.split("value", r"\r?\n")).alias("row_idx", "line"))
-    fields = ", ".join(f"c{i} string" for i in range(width))
-    cells = F.from_csv("line", fields)
-    out = lines.where("line <> ''").withColumn("r", cells)
-    blank = lambda i: F.when(F.trim(F.col(f"r.c{i}")) != "", F.col(f"r.c{i}"))
-    return out.select(F.lit(dataset_id).alias("dataset_id"), "_sheet_name", "row_idx", F.array(*map(blank, range(width))).alias("cells"))
+def read_csv_grid(spark: SparkSession, path: str, dataset_id: str, width: int = 0) -> DataFrame:
+    """CSV files as grids, one sheet a file; rows keep their numbers and all their cells, at least ``width`` of them.
+
+    Quoted cells may hold commas, quotes and line breaks. A file is one text, as small as admission lets files be, and
+    its records depend on all quotes before them, so each is read in the task that holds it; files are spread over tasks.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = enumerate(csv.reader(io.StringIO(text, newline="")))
+                while part := list(islice(((i, [x if x.strip() else None for x in r] + [None] * (width - len(r))) for i, r in rows if r), 4096)):
+                    numbers, cells = zip(*part)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(numbers, pa.int32()), pa.array(cells, pa.list_(pa.string()))], names=["_sheet_name", "row_idx", "cells"])
+
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1).alias("_sheet_name"), "value")
+    rows = files.mapInArrow(run, "_sheet_name string, row_idx int, cells array<string>")
+    return rows.select(F.lit(dataset_id).alias("dataset_id"), "_sheet_name", "row_idx", "cells")
 
 
 def sheets_of_records(grid: DataFrame) -> DataFrame:
@@ -110,18 +154,20 @@ def suggest_headers(headers: DataFrame, missing: DataFrame, aliases: dict[str, l
 
     One must contain the other, with a length ratio over 0.4. Aliases are a small fixed table, asked in the row.
     """
-    spec = {c: F.array(*map(F.lit, names)) for c, names in (aliases or ALIASES).items()}
-    options = F.create_map(*(x for c, a in spec.items() for x in (F.lit(c), a)))
-    h = headers.select("header", header_text("header").alias("h")).where("h <> ''")
-    pairs = missing.select("canonical").distinct().withColumn("names", options[F.col("canonical")]).join(h)
-    ratio = F.array_max(F.transform(F.filter("names", lambda a: F.col("h").contains(a) | a.contains(F.col("h"))), lambda a: F.least(F.length(a), F.length("h")) / F.greatest(F.length(a), F.length("h"))))
-    return pairs.withColumn("ratio", ratio).where("ratio > 0.4").groupBy("canonical").agg(F.max_by("header", F.struct("ratio", "header")).alias("header"))
+    options = [(c, a) for c, names in (aliases or ALIASES).items() for a in names]
+    every = F.array(*(F.struct(F.lit(c).alias("canonical"), F.lit(a).alias("a")) for c, a in options))
+    h = headers.select("header", header_text("header").alias("h")).where("h <> ''").distinct()
+    a = F.col("o.a")
+    near = h.select("header", "h", F.explode(F.filter(every, lambda o: F.col("h").contains(o["a"]) | o["a"].contains(F.col("h")))).alias("o"))
+    near = near.withColumn("ratio", F.least(F.length(a), F.length("h")) / F.greatest(F.length(a), F.length("h"))).where("ratio > 0.4")
+    best = near.groupBy("o.canonical").agg(F.max_by("header", F.struct("ratio", "header")).alias("header"))  # a row a canonical column
+    return best.join(missing.select("canonical").distinct(), "canonical", "left_semi")
 
 
 def tagged_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """Data rows below the header that hold anything: _source_row (1 up), name and why a row is left out (or null)."""
     h = headers.select("dataset_id", "_sheet_name", "header_row", "mapping")
-    rows = grid.join(F.broadcast(h), ["dataset_id", "_sheet_name"]).where(F.col("row_idx") > F.col("header_row"))  # a row a sheet
+    rows = grid.join(sized(h, 20_000), ["dataset_id", "_sheet_name"]).where(F.col("row_idx") > F.col("header_row"))
     rows = rows.where(F.exists("cells", lambda x: F.coalesce(x, F.lit("")) != ""))
     pos = lambda c: F.col("mapping")[c]["pos"]
     used = F.array_compact(F.array(*map(pos, ("upc", "qty", "variant_mrp", "value"))))
@@ -134,17 +180,24 @@ def tagged_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def ingest(grid: DataFrame, aliases: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, excluded) of all sheets: canonical columns with the raw cells by header; and the quarantine."""
+    """(records, excluded) of all sheets: canonical columns, the units that weight headers name, and the raw cells by
+    header; and the quarantine. with_weight_units completes the units."""
     grid = sheets_of_records(grid)
-    rows = tagged_rows(grid, detect_headers(grid, aliases))
-    top = grid.select("dataset_id", "_sheet_name", F.col("row_idx").alias("header_row"), F.col("cells").alias("heads"))
-    rows = rows.join(F.broadcast(top.where(F.col("header_row") < SCANNED)), ["dataset_id", "_sheet_name", "header_row"])  # ten rows a sheet
+    headers = shared_table(detect_headers(grid, aliases))
+    rows = tagged_rows(grid, headers)
+    at = headers.select("dataset_id", "_sheet_name", F.col("header_row").alias("row_idx"))
+    top = grid.where(F.col("row_idx") < SCANNED).join(sized(at, 20_000), ["dataset_id", "_sheet_name", "row_idx"], "left_semi").select("dataset_id", "_sheet_name", F.col("cells").alias("heads"))
+    rows = rows.join(sized(shared_table(top), 20_000), ["dataset_id", "_sheet_name"], "left")
     heads = F.transform("cells", lambda x, i: F.struct(F.coalesce(F.when(X.trimmed(F.get("heads", i)) != "", X.trimmed(F.get("heads", i))), F.concat(F.lit("col_"), i.cast("string"))).alias("key"), x.alias("value")))
-    raw = F.aggregate(F.filter(heads, lambda x: x["value"].isNotNull()), F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, v: k != x["key"]), F.create_map(x["key"], x["value"])))
+    filled = F.filter(heads, lambda x: x["value"].isNotNull())
+    # of headers given twice the last filled cell counts; a sheet without such headers needs no comparison
+    last = F.filter(filled, lambda x, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda y: y["key"] == x["key"]))
+    once = F.size(F.array_distinct(F.transform(filled, lambda x: x["key"]))) == F.size(filled)
+    raw = F.map_from_entries(F.when(once, filled).otherwise(last))
     rows = rows.withColumn("_raw", raw)
     cell = lambda c: F.get("cells", F.col("mapping")[c]["pos"])
     names = [c for c in (aliases or ALIASES) if c != "name"]
-    valid = rows.where("_exclude_reason is null").select("dataset_id", "_sheet_name", "_source_row", "name", *(cell(c).alias(c) for c in names), "_raw")
+    valid = rows.where("_exclude_reason is null").select("dataset_id", "_sheet_name", "_source_row", "name", *(cell(c).alias(c) for c in names), *(U.header_unit(F.col("mapping")[c]["cell"]).alias(f"{c}_unit_hint") for c in ("weight", "total_weight")), "_raw")
     number = lambda c: F.coalesce(cell(c).try_cast("double"), F.lit(0.0)).alias(c)
     out = rows.where("_exclude_reason is not null").select("dataset_id", "_sheet_name", "_source_row", "_exclude_reason", cell("upc").alias("upc"), F.when(F.col("name") != "", F.col("name")).alias("name"), number("qty"), number("variant_mrp"), number("value"), F.col("_raw").alias("_raw_cells"))
     return valid, out
@@ -171,3 +224,36 @@ def infer_weight_unit(records: DataFrame) -> DataFrame:
     checked = (bare > 0) & named.isNotNull()
     c = records.groupBy("dataset_id").agg(F.count_if(checked).alias("checked"), F.count_if(checked & (F.abs(bare - named) < 1e-3)).alias("agreed"))
     return c.withColumn("weight_unit", F.when((F.col("checked") >= 5) & (F.col("agreed") >= 0.8 * F.col("checked")), "KG"))
+
+
+def with_weight_units(records: DataFrame) -> DataFrame:
+    """Records whose bare weights have a unit: the header's, else, where the unit weight's header names none, what the
+    dataset's pack texts confirm (infer_weight_unit), for both weights."""
+    units = shared_table(infer_weight_unit(records).where("weight_unit is not null").select(F.col("dataset_id").alias("__ds"), "weight_unit"))
+    r = records.join(sized(units, 20_000), F.col("dataset_id") == F.col("__ds"), "left")
+    own = F.col("weight_unit_hint")
+    return r.withColumns({"weight_unit_hint": F.coalesce(own, "weight_unit"), "total_weight_unit_hint": F.when(own.isNull(), F.coalesce("weight_unit", "total_weight_unit_hint")).otherwise(F.col("total_weight_unit_hint"))}).drop("__ds", "weight_unit")
+
+
+#: Headers of columns that hold a variant or a pack, whose texts may end in a price.
+VARIANT_HEADERS = (
+    "variant", "variant uom text", "variant uom", "uom", "uom text", "unit", "unit of measure", "pack size", "size", "pack text", "weight uom", "pack", "uom code", "pack spec", "uom description", "packaging",
+    "sku variant", "variant name", "variant desc", "variant description", "variant pack",
+)
+
+
+def is_variant_header(c: Column | str) -> Column:
+    """Whether a header names a variant or pack column; ids, prices and amounts are not among these names."""
+    plain = X.single_spaced(F.regexp_replace(F.regexp_replace(F.lower(X.trimmed(c)), r"[\-_.]+", " "), r"[^a-z0-9\s]+", ""))
+    return F.replace(plain, F.lit(" "), F.lit("")).isin(*(h.replace(" ", "") for h in VARIANT_HEADERS))
+
+
+def without_prices(grid: DataFrame, headers: DataFrame) -> DataFrame:
+    """The grid with embedded prices taken off the cells below variant and pack headers (header_row of each sheet)."""
+    at = headers.select("dataset_id", "_sheet_name", "header_row")
+    heads = grid.join(sized(shared_table(at), 20_000), ["dataset_id", "_sheet_name"]).where(F.col("row_idx") == F.col("header_row"))
+    heads = shared_table(heads.select("dataset_id", "_sheet_name", "header_row", F.transform("cells", lambda x: F.coalesce(is_variant_header(x), F.lit(False))).alias("strip")))
+    r = grid.join(sized(heads, 20_000), ["dataset_id", "_sheet_name"], "left")
+    below = F.col("row_idx") > F.col("header_row")
+    cells = F.transform("cells", lambda x, i: F.when(below & F.get("strip", i) & x.isNotNull(), U.strip_price(x)).otherwise(x))
+    return r.withColumn("cells", cells).drop("header_row", "strip")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,21 +12,28 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Child tables of a dataset.
-CHILDREN = ["records", "excluded", "brands", "suggestions", "families", "variants", "warehouses", "issues"]
+CHILDREN = ["records", "brands", "categories", "subcategories", "families", "variants", "warehouses", "suggestions", "issues", "excluded"]
+_own: dict[str, str] = {}  # temporary folders of local applications
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Writes a table to the folder that driver and executors share (spark.checkpoint.dir) and reads it again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a local session may go without and gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-lotwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _own[app] = tempfile.mkdtemp(prefix="spark-lotwise-")
+        base = _own[app]
+    return base.rstrip("/")
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and reads it again."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
@@ -69,13 +77,32 @@ def page(df: DataFrame, where: Column | None, order: list[Column | str], offset:
 
 def without_dataset(df: DataFrame, deleted: DataFrame) -> DataFrame:
     """What is left of a table when datasets (dataset_id) are deleted."""
-    return df.join(F.broadcast(deleted.select("dataset_id").distinct()), "dataset_id", "left_anti")
+    return df.join(sized(deleted.select("dataset_id").distinct()), "dataset_id", "left_anti")
+
+
+def save_dataset(spark: SparkSession, folder: str, dataset_id: str, name: str, uploaded_at: str, children: dict[str, DataFrame]) -> None:
+    """Replaces a dataset: its child tables, and last its own row, so that a listed dataset is whole. Rows of other
+    datasets in the given tables are left out; children that are not given become empty."""
+    delete_dataset(spark, folder, dataset_id)
+    for child, df in children.items():
+        if child not in CHILDREN:
+            raise ValueError(f"no child table {child}")
+        own = df.where(F.col("dataset_id") == dataset_id) if "dataset_id" in df.columns else df.withColumn("dataset_id", F.lit(dataset_id))
+        save(own, folder, child)
+    row = spark.createDataFrame([(dataset_id, name)], "dataset_id string, name string").withColumn("uploaded_at", F.lit(uploaded_at).cast("timestamp"))
+    save(row, folder, "datasets")
+
+
+def datasets(spark: SparkSession, folder: str) -> DataFrame:
+    """The datasets, newest first, then by id."""
+    return load(spark, folder, "datasets").orderBy(F.col("uploaded_at").desc(), "dataset_id")
 
 
 def delete_dataset(spark: SparkSession, folder: str, dataset_id: str, names: list[str] | None = None) -> None:
-    """Drops one dataset's partition from every child table, through Spark's own file system."""
+    """Drops one dataset's partition from the list of datasets and from every child table, through Spark's own file
+    system."""
     path_of = spark._jvm.org.apache.hadoop.fs.Path
-    for name in names or CHILDREN:
+    for name in names or ["datasets", *CHILDREN]:
         path = path_of(f"{folder}/{name}/dataset_id={dataset_id}")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(path):
@@ -83,13 +110,19 @@ def delete_dataset(spark: SparkSession, folder: str, dataset_id: str, names: lis
 
 
 def manifest(files: DataFrame, most_mb: int = 100) -> DataFrame:
-    """From a binaryFile scan: path, length, sha256, admitted, reason, duplicate of an earlier path.
+    """From a binaryFile scan: path, length, sha256, admitted, reason, duplicate of an earlier admitted path.
 
-    Spreadsheets and CSV files of 1 byte to ``most_mb`` megabytes are admitted.
+    Spreadsheets and CSV files of 1 byte to ``most_mb`` megabytes are admitted. Only their contents are read and hashed:
+    length filters are pushed into the scan, so a refused file of any size costs nothing.
     """
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    reason = F.when(~ext.isin("xlsx", "xls", "csv"), "unsupported type").when(F.col("length") == 0, "empty").when(F.col("length") > most_mb << 20, "too large")
-    out = files.select("path", "length", F.sha2("content", 256).alias("sha256"), reason.isNull().alias("admitted"), reason.alias("reason"), F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_").alias("safe_name"))
-    first = out.groupBy("sha256").agg(F.min("path").alias("first_path"))
-    return out.join(first, "sha256").withColumn("is_duplicate", F.col("path") != F.col("first_path"))
+    ext = F.coalesce(F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)), F.lit(""))
+    safe = F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_").alias("safe_name")
+    fits, known = (F.col("length") > 0) & (F.col("length") <= most_mb << 20), ext.isin("xlsx", "xls", "csv")
+    reason = F.when(~known, "unsupported type").when(F.col("length") == 0, "empty").otherwise("too large")
+    taken = files.where(fits & known).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit(True).alias("admitted"), F.lit(None).cast("string").alias("reason"), safe)
+    refused = files.where(~(fits & known)).select("path", "length", F.lit(None).cast("string").alias("sha256"), F.lit(False).alias("admitted"), reason.alias("reason"), safe)
+    taken = shared_table(taken)
+    first = taken.groupBy("sha256").agg(F.min("path").alias("first_path"))
+    found = taken.join(first, "sha256").withColumn("is_duplicate", F.col("path") != F.col("first_path"))
+    return found.unionByName(refused.withColumns({"first_path": F.lit(None).cast("string"), "is_duplicate": F.lit(False)}))

@@ -3,7 +3,7 @@ verified exactly."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -19,11 +19,14 @@ from lotwise.llm.simhash import BITS, linked
 SHINGLE, TENTHS = 5, 8
 #: Minima of a band, and bands: a pair at similarity s shares no band with probability (1 - s^6)^40, 5e-6 at 0.8.
 ROWS, BANDS = 6, 40
+WORDS = -(-ROWS * BANDS // 64)
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _BATCH = 1 << 11
-#: Bits in which the SimHash codes of a pair may differ: to be linked first, and to be compared at all within a band.
-#: At a similarity of 0.8 about 10 of 64 bits differ, with a deviation of 3.
-LINKED, COMPARED = 4, 26
+#: Bits in which SimHash codes may differ to be linked first. At a similarity of 0.8 about 10 of 64 differ.
+LINKED = 4
+#: Of a set's minima one bit each is kept. Members of a band are compared if at most so many differ: at 0.8 a tenth of
+#: the bits does, 24 of 240 with a deviation of 4.7; at 0.6 already 48.
+DIFFERING = 45
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -38,11 +41,23 @@ def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts[: n - k + 1], ends[k - 1 :])), np.uint64, n - k + 1))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """For each band a key made of ROWS minima, each of the hashes times its own odd factor."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """For every factor the least of the hashes times it."""
     least = np.full(len(_MIX), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), _BATCH):
         np.minimum(least, (hashes[i : i + _BATCH] * _MIX).min(axis=1), out=least)
+    return least
+
+
+def bits_of(least: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, as WORDS numbers of 64 bits."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[: len(least)] = (least >> np.uint64(7)) & np.uint64(1)
+    return np.packbits(bits, bitorder="little").view("<u8")
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """For each band a key made of its ROWS minima."""
     out = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
@@ -59,20 +74,22 @@ def simhash_code(hashes: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, n, fp, bands, shingles) of every row; node tells distinct sets apart, and rows of one node are copies."""
+    """(id, node, n, fp, bits, bands, shingles) of every row; node tells distinct sets apart, and rows of one node are copies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py()) for t in b.column(1)]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             codes = np.array([simhash_code(s) for s in sets], np.uint64).view(np.int64)
-            bands = np.array([band_keys(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
+            least = [minima(s) for s in sets]
+            bands = np.array([band_keys(x) for x in least], np.uint64).reshape(-1).view(np.int64)
+            bits = np.array([bits_of(x) for x in least], np.uint64).reshape(-1).view(np.int64)
             ends = np.cumsum([0, *map(len, sets)], dtype=np.int64)
             flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
             wide = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int64()))
-            each = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(np.diff(ends)), pa.array(codes), each, wide], names=["id", "node", "n", "fp", "bands", "shingles"])
+            lists = lambda size, values: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * size), pa.array(values))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(np.diff(ends)), pa.array(codes), lists(WORDS, bits), lists(BANDS, bands), wide], names=["id", "node", "n", "fp", "bits", "bands", "shingles"])
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", longs), T.StructField("shingles", longs)])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bits", longs), T.StructField("bands", longs), T.StructField("shingles", longs)])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -87,71 +104,126 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where((10 + TENTHS) * shared >= TENTHS * total).select("a", "b")
 
 
-def _within_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one band, key and different roots whose sizes and codes allow them to be similar, from rows sorted by band
-    and key. Compared block by block, so that a large band needs no memory for its pairs."""
-    held: list[np.ndarray] | None = None
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        node, n, fp, root = rows
-        u = fp.view(np.uint64)
-        for i in range(0, len(node), 512):
-            for j in range(i, len(node), 8192):
-                x, y = slice(i, i + 512), slice(j, j + 8192)
-                near = np.bitwise_count(u[x, None] ^ u[None, y]) <= COMPARED
-                near &= (root[x, None] != root[None, y]) & (10 * np.minimum(n[x, None], n[None, y]) >= TENTHS * np.maximum(n[x, None], n[None, y]))
-                a, b = np.nonzero(near)
-                a, b = node[x][a], node[y][b]
+def _by_runs(pairs: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]):
+    """Applies a function to each run of rows with one band and key, from rows sorted by these; it gets the other columns,
+    the bits as a matrix, and yields pairs of nodes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            column = lambda i: t.column(i).to_numpy()
+            bits = np.stack([column(4 + i) for i in range(WORDS)], axis=1).view(np.uint64)
+            for a, b in pairs(column(2), column(3), bits, *t.columns[4 + WORDS :]):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    for b in batches:
-        columns = [c.to_numpy() for c in b.columns]
-        if held is not None:
-            columns = [np.concatenate([x, y]) for x, y in zip(held, columns)]
-        band, key = columns[:2]
-        cut = np.r_[0, np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1]
-        for start, end in zip(cut, cut[1:]):
-            yield from pairs([c[start:end] for c in columns[2:]])
-        held = [c[cut[-1] :] for c in columns]  # the last run may go on in the next batch
-    if held is not None:
-        yield from pairs(held[2:])
+        held: list[pa.RecordBatch] = []  # parts of the run that the last batch ended in
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band, key = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (band[0], key[0]):
+                yield from out(pa.Table.from_batches(held))
+                held = []
+            cut = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1
+            for start, end in zip(np.r_[0, cut], np.r_[cut, len(band)]):
+                held.append(b.slice(start, end - start))
+                if end < len(band):
+                    yield from out(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield from out(pa.Table.from_batches(held))
+    return run
+
+
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sets of very different size cannot be similar enough."""
+    return 10 * np.minimum(a, b) >= TENTHS * np.maximum(a, b)
+
+
+def _to_middle(node: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each member with the one that is nearest to what most members' bits say: of copies that were edited each in its own
+    way, the original, to which all are similar while they are not to each other."""
+    if len(node) > 2:
+        ones = sum(np.unpackbits(bits[i : i + 4096].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(bits), 4096))
+        middle = np.packbits(2 * ones > len(bits), bitorder="little").view("<u8")
+        at = np.lexsort((node, np.bitwise_count(bits ^ middle).sum(axis=1)))[0]
+    else:
+        at = int(np.argmin(node))
+    near = (np.bitwise_count(bits ^ bits[at]).sum(axis=1) <= DIFFERING) & _fits(n, n[at]) & (node != node[at])
+    yield node[near], np.full(int(near.sum()), node[at])
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles x[a] and y[b] share, for each pair; by a matrix product where sets are many and short."""
+    if len(a) > 64:
+        known = np.unique(np.concatenate([*x, *y]))
+        if len(known) * (len(x) + len(y)) <= 1 << 24:
+            def matrix(sets: list[np.ndarray]) -> np.ndarray:
+                m = np.zeros((len(sets), len(known)), np.float32)
+                for i, s in enumerate(sets):
+                    m[i, np.searchsorted(known, s)] = 1
+                return m
+            return (matrix(x) @ matrix(y).T)[a, b].astype(np.int64)
+    return np.array([len(np.intersect1d(x[i], y[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())], np.int64)
+
+
+def _unlike_roots(node: np.ndarray, n: np.ndarray, bits: np.ndarray, root: pa.ChunkedArray, shingles: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots that are similar, enough of them to connect what is; verified here, block by block, so that
+    of all the pairs of a run only these are put out."""
+    root = root.to_numpy().copy()
+    sets = [s.values.to_numpy() for s in shingles]
+    for i in range(0, len(node), 128):
+        for j in range(i, len(node), 128):
+            x, y = slice(i, i + 128), slice(j, j + 128)
+            a, b = np.nonzero((root[x, None] != root[None, y]) & _fits(n[x, None], n[None, y]))
+            close = np.bitwise_count(bits[x][a] ^ bits[y][b]).sum(axis=1) <= DIFFERING
+            a, b = a[close], b[close]
+            if not len(a):
+                continue
+            alike = (10 + TENTHS) * _shared(sets[x], sets[y], a, b) >= TENTHS * (n[x][a] + n[y][b])
+            found = []
+            for p, q in zip((a[alike] + i).tolist(), (b[alike] + j).tolist()):
+                if root[p] != root[q]:
+                    root[root == root[q]] = root[p]
+                    found.append((node[p], node[q]))
+            if found:
+                one, other = np.array(found, np.int64).T
+                yield one, other
 
 
 def near_copies(sets: DataFrame) -> DataFrame:
     """(node, root) of every node that has near copies: components of pairs with Jaccard similarity 0.8 or more.
 
     SimHash codes of the shingle sets are linked within LINKED bits through BK-trees, as in the operator itself. Pairs
-    at 0.8 often differ in more bits, so a band's members are also compared with its least one. All of these pairs are
+    at 0.8 often differ in more bits, so a band's members are also compared with their middle one. All of these pairs are
     verified, and what is similar becomes one component. Then members of one band that are still in different components
-    are compared with each other, so that a group of copies costs a row a member, and no pair of a band stays unasked
-    where the answer would change a component, but for those whose codes differ in over COMPARED bits.
+    are compared with each other by their bits and, where these are near enough, by their shingles, which are sent to the
+    bands for it. So every group costs a row a member, and no pair that shares a band stays unasked where the answer
+    would change a component. What is left of a band after the first step is compared in one task, in blocks.
     """
-    # sets of very different size cannot be similar enough
-    fits = lambda a, b: (10 * F.least(a, b) >= TENTHS * F.greatest(a, b))
-    nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    words = [f"w{i}" for i in range(WORDS)]
+    nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     codes = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.max("node").alias("most")))
     close = materialize(linked(codes.select("fp"), LINKED))
     name = lambda c: codes.select(F.col("fp").alias(f"fp_{c}"), F.col("least").alias(c))
     close = close.select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b")).join(name("a"), "fp_a").join(name("b"), "fp_b").select("a", "b")
     same = nodes.select("node", "fp").join(codes.where("least < most"), "fp").where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    dealt = nodes.select("node", "n", "fp", F.posexplode("bands").alias("band", "key"))
-    least = F.min(F.struct("node", "n"))
-    heads = dealt.groupBy("band", "key").agg(least.alias("head"), F.count("*").alias("members")).where("members > 1").select("band", "key", "head")
+    dealt = nodes.select("node", "n", *(F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(words)), F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("long"))
+    shared = materialize(dealt.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1").select("band", "key"))
     # bands of one member are most of them and go here
-    met = materialize(dealt.join(materialize(heads).hint("merge"), ["band", "key"]))
-    star = met.where(F.col("node") != F.col("head.node")).where(fits(F.col("n"), F.col("head.n")))
-    star = star.select(F.col("head.node").alias("a"), F.col("node").alias("b")).unionByName(close).unionByName(same)
+    met = materialize(dealt.join(shared.hint("merge"), ["band", "key"]).select("band", "key", "node", "n", *words))
+    runs = lambda rows, pairs: rows.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(_by_runs(pairs), "a long, b long").distinct()
+    star = runs(met, _to_middle).unionByName(close).unionByName(same)
     star = materialize(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     edges = materialize(_verified(star, sets))
     roots = components(edges)
-    now = met.select("band", "key", "node", "n", "fp").join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    now = met.join(sized(roots), "node", "left").select("band", "key", "node", "n", *words, F.coalesce("root", "node").alias("root"))
     split = now.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
-    rest = now.join(materialize(split).hint("merge"), ["band", "key"]).select(F.col("band").cast("long").alias("band"), "key", "node", "n", "fp", "root")
-    cross = rest.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(_within_bands, "a long, b long")
-    cross = materialize(cross.distinct().join(star, ["a", "b"], "left_anti"))
+    rest = materialize(now.join(materialize(split).hint("merge"), ["band", "key"]).select("band", "key", "node", "n", *words, "root"))
+    some = materialize(sets.join(sized(materialize(rest.select("node").distinct())), "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles"))
+    wide = rest.join(some.hint("merge"), "node").select("band", "key", "node", "n", *words, "root", "shingles")
+    cross = materialize(runs(wide, _unlike_roots))
     if cross.isEmpty():
         return roots
-    return components(edges.unionByName(_verified(cross, sets)))
+    return components(edges.unionByName(cross))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

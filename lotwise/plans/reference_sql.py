@@ -194,7 +194,7 @@ for _i, _f in enumerate(V.FOOD_RULES):
     _last = f"z{_i}"
 
 CATEGORY_SQL = rf"""{STATUS_SQL},
-k0 AS (SELECT *, lower({trim('source_category')}) AS raw0, lower({trim('normalized_product_name')}) AS name_text, lower({trim('normalized_brand')}) AS brand_text, lower(trim(normalized_product_name || ' ' || normalized_brand)) AS both_text FROM st),
+k0 AS (SELECT *, lower({trim('source_category')}) AS raw0, lower({trim('normalized_product_name')}) AS name_text, lower({trim('normalized_brand')}) AS brand_text, lower(trim(normalized_product_name || ' ' || normalized_brand)) AS both_text FROM (SELECT DISTINCT source_category, normalized_product_name, normalized_brand FROM st)),
 k1 AS (SELECT *, CASE WHEN raw0 IN ({_none}) OR {_plain} IN ({_none}) OR regexp_matches(raw0, '^(sheet\s*\d+|lot[\s-]*\d+)$') OR len(list_filter(string_split({_plain}, ' '), lambda w: NOT (w IN ({_none}) OR regexp_matches(w, '^\d+$')))) = 0 THEN '' ELSE raw0 END AS raw FROM k0),
 k2 AS (SELECT *, {case([(f"raw = {q(k)}", q(c)) for k, (c, _) in V.RAW_CATEGORIES.items()])} AS mapped_cat, {case([(f"raw = {q(k)}", q(s) if s else 'NULL') for k, (_, s) in V.RAW_CATEGORIES.items()])} AS mapped_sub,
   {case([(f"raw = {q(c.lower())} AND raw NOT IN ({', '.join(map(q, V.RAW_CATEGORIES))})", q(c)) for c in _known])} AS given,
@@ -204,8 +204,9 @@ k3 AS (SELECT *, {case([(f"f{i}", q(f.subcategory)) for i, f in enumerate(V.FOOD
 k4 AS (SELECT *, coalesce(locked, d_cat, CASE WHEN food IS NOT NULL THEN 'Grocery' END, mapped_cat, given, CASE WHEN raw <> '' THEN array_to_string(list_transform(regexp_extract_all({spaced('source_category')}, '(\w+|\W+)'), lambda w: upper(w[1:1]) || w[2:]), '') END, 'Other / Uncategorized') AS main FROM k3),
 k5a AS (SELECT *, regexp_split_to_array(both_text, '[^a-z0-9]+') AS both_words FROM k4),
 k5 AS (SELECT *, {_best()} AS keyword FROM k5a),
-ct AS (SELECT * EXCLUDE (raw0, raw, both_text, both_words, brand_text, mapped_cat, mapped_sub, given, food, keyword), main AS normalized_category, CASE WHEN locked IS NOT NULL THEN keyword ELSE coalesce(d_sub, food, mapped_sub, keyword) END AS subcategory,
+kc AS (SELECT source_category, normalized_product_name, normalized_brand, locked, d_rule, main, main AS normalized_category, CASE WHEN locked IS NOT NULL THEN keyword ELSE coalesce(d_sub, food, mapped_sub, keyword) END AS subcategory,
   regexp_matches(name_text, {q(pattern(V.AMBIGUOUS))}) AS is_ambiguous FROM k5),
+ct AS (SELECT st.*, kc.* EXCLUDE (source_category, normalized_product_name, normalized_brand) FROM st JOIN kc USING (source_category, normalized_product_name, normalized_brand)),
 cat AS (SELECT *, CASE WHEN locked IS NOT NULL OR d_rule IS NOT NULL THEN 'HIGH' WHEN main = 'Other / Uncategorized' THEN 'LOW' WHEN subcategory IN ('General', 'General Staples') THEN 'MEDIUM' ELSE 'HIGH' END AS subcategory_confidence,
   CASE WHEN locked IS NOT NULL THEN 'explicit_domain_lock' WHEN d_rule IS NOT NULL THEN d_rule WHEN main = 'Other / Uncategorized' THEN 'default_fallback' WHEN subcategory IN ('General', 'General Staples') THEN 'category_general_fallback' ELSE 'identity_priority_match' END AS classification_rule FROM ct)"""
 

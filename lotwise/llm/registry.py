@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lotwise.llm import decontaminate, langid, mixing, quality, quotes, repeats, secrets, shard, simhash, token_counts
+from lotwise.llm import decontaminate, langid, line_dedup, mixing, quality, quotes, repeats, secrets, shard, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_decontamination,
         op10_secret_scan,
+        op13_line_dedup,
     )
 }
 
@@ -118,6 +123,15 @@ t AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(g.n_hit, 0) AS n_hit, CAST(coalesce(len(t.items), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(t.items, ','), '')) AS items_sha256, coalesce(g.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN g USING (r) LEFT JOIN t USING (r)"""
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS stays FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (k.doc_id < c.stays) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.key IS NULL OR k.doc_id >= c.stays), '')) AS kept_sha256
+FROM k LEFT JOIN c USING (key) GROUP BY k.r, k.doc_id"""
+
 _NORM = r"trim(lower(regexp_replace({}, '[\s\x01]+', ' ', 'g')))"
 _MARKS = r"^[\x20\t]*(?:>[\x20\t]*)+"
 _OP2_SQL = rf"""
@@ -146,4 +160,4 @@ quoted AS (SELECT conv_id, turn, role, coalesce(CASE turn % 4 WHEN 1 THEN 'On Mo
 """ + _OP2_SQL.replace("FROM conversations)", "FROM quoted)")
 
 #: The other operators hash, iterate, tokenise or learn in ways that SQL does not have; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "quoted_replies": QUOTED_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "quoted_replies": QUOTED_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op13_line_dedup": OP13_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lotwise.llm import decontaminate, langid, line_dedup, mixing, quality, quotes, repeats, secrets, shard, simhash, token_counts
+from lotwise.llm import conversations, decontaminate, langid, line_dedup, mixing, quality, quotes, ranked_search, repeats, secrets, shard, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +74,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
 
@@ -92,6 +100,8 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_decontamination,
         op10_secret_scan,
+        op11_conversation_repair,
+        op12_ranked_search,
         op13_line_dedup,
     )
 }
@@ -123,6 +133,18 @@ t AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(g.n_hit, 0) AS n_hit, CAST(coalesce(len(t.items), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(t.items, ','), '')) AS items_sha256, coalesce(g.n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN g USING (r) LEFT JOIN t USING (r)"""
 
+_TERMS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+c AS (SELECT count(*) AS n_docs, sum(len(ts)) AS n_terms FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t),
+m AS (SELECT r, doc_id, 50 + (50 * len(ts) * n_docs) // n_terms AS m FROM d, c),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS score FROM q JOIN w USING (t) JOIN p USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM k WHERE rank <= 50"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
@@ -160,4 +182,4 @@ quoted AS (SELECT conv_id, turn, role, coalesce(CASE turn % 4 WHEN 1 THEN 'On Mo
 """ + _OP2_SQL.replace("FROM conversations)", "FROM quoted)")
 
 #: The other operators hash, iterate, tokenise or learn in ways that SQL does not have; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "quoted_replies": QUOTED_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op13_line_dedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op2_quotation_linking": OP2_SQL, "quoted_replies": QUOTED_SQL, "op4_substring_dedup": OP4_SQL, "op9_decontamination": OP9_SQL, "op12_ranked_search": OP12_SQL, "op13_line_dedup": OP13_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lotwise.llm.common import ascii_lower, materialize, number_array, sized
+from lotwise.llm.common import ascii_lower, fresh, materialize, number_array, sized
 
 #: Java pattern of what separates the words of a lower-cased text.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -132,9 +132,9 @@ def decontamination_report(docs: DataFrame, bench: DataFrame, width: int = 10, i
 
 
 def _joined(docs: DataFrame, hits: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    hit = hits.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "*").drop("id", "text_key")
-    weight = F.size("__cut") if "__cut" in hit.columns else None
-    return docs.join(sized(hit, weight=weight), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), how)
+    own, key, cut = fresh(docs, "id"), fresh(docs, "text_key"), [c for c in hits.columns if c not in ("id", "text_key")]
+    hit = hits.select(F.col("id").alias(own), F.col("text_key").alias(key), *cut)
+    return docs.join(sized(hit, weight=F.size(cut[0]) if cut else None), F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(key)), how)
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -149,9 +149,10 @@ def remove_spans(docs: DataFrame, bench: DataFrame, width: int = 10, id_col: str
     Other words, separators and columns stay as they are. Edge cases as in decontamination_report.
     """
     hits = find_hits(docs, bench, width, id_col, text_col, item_col, item_text_col)
-    cut = materialize(hits.where(F.size("spans") > 0).select("id", "text_key", merged(F.col("spans")).alias("__cut")))
+    gone = fresh(docs, "cut")
+    cut = materialize(hits.where(F.size("spans") > 0).select("id", "text_key", merged(F.col("spans")).alias(gone)))
     wide = _joined(docs, cut, id_col, text_col, "left")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"{IN}+{OUT}*"), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists("__cut", lambda c: (c["first"] <= i + 1) & (i + 1 < c["end"])))
+    kept = F.filter(pieces, lambda _, i: ~F.exists(gone, lambda c: (c["first"] <= i + 1) & (i + 1 < c["end"])))
     clean = F.concat(F.regexp_extract(text_col, f"^{OUT}*", 0), F.array_join(kept, ""))
-    return wide.withColumn(text_col, F.when(F.col("__cut").isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns)
+    return wide.withColumn(text_col, F.when(F.col(gone).isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns)

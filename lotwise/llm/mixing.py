@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lotwise.llm.common import materialize, sized, word_count
+from lotwise.llm.common import fresh, materialize, sized, word_count
 
 #: No document is taken more often.
 MOST_COPIES = 3
@@ -162,10 +162,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_
     """
     rows = materialize(mix_rows(docs, id_col, text_col, source_col))
     _, cells = mix_plan(rows, weights)
-    own = docs.columns
-    key = {c: f"__{c}" for c in ("source", "size", "pick")}
+    key = {c: fresh(docs, c) for c in ("source", "size", "pick", "c_source", "c_size", "base", "cutoff", "copy")}
     wide = docs.withColumns({key["source"]: F.col(source_col), key["size"]: word_count(F.col(text_col)), key["pick"]: F.xxhash64(F.lit("pick"), F.col(id_col), F.col(text_col))})
-    named = cells.select(F.col("source").alias("__c_source"), F.col("size").alias("__c_size"), F.col("base").alias("__base"), F.col("cutoff").alias("__cutoff"))
-    joined = wide.join(sized(named), F.col(key["source"]).eqNullSafe(F.col("__c_source")) & (F.col(key["size"]) == F.col("__c_size")))
-    copies = F.col("__base") + F.when(F.col(key["pick"]) <= F.col("__cutoff"), 1).otherwise(0)
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*own)
+    named = cells.select(F.col("source").alias(key["c_source"]), F.col("size").alias(key["c_size"]), F.col("base").alias(key["base"]), F.col("cutoff").alias(key["cutoff"]))
+    joined = wide.join(sized(named), F.col(key["source"]).eqNullSafe(F.col(key["c_source"])) & (F.col(key["size"]) == F.col(key["c_size"])))
+    copies = F.col(key["base"]) + F.when(F.col(key["pick"]) <= F.col(key["cutoff"]), 1).otherwise(0)
+    return joined.withColumn(key["copy"], F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)

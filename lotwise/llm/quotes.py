@@ -10,8 +10,6 @@ from lotwise.llm.common import materialize
 MARKS = r"^[\x20\t]*(?:>[\x20\t]*)+"
 #: A line that introduces a quote.
 ATTRIBUTION = r"(?i)(?:\bwrote|\bschrieb|\ba écrit|\bescribió)[\x20\xA0]?:[\x20\t]*$"
-#: A quoted passage of fewer characters links only to a message that says nothing else.
-LEAST_CHARS = 8
 #: Replies to one message are put in order in blocks of so many turns, so that no task holds all of them.
 BLOCK = 1024
 _BREAK = "\x01"
@@ -74,16 +72,17 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """Messages without their quotes, each with the message that it answers and the thread that it belongs to.
 
     Quote levels are parsed from leading > marks. Passages (runs of lines of one level) and their single lines are
-    normalised and hashed, and joined, within a conversation, to the earliest message that has the same passage, line
-    or whole body among its own words; one of under LEAST_CHARS characters must be the whole body. A message answers the earlier message whose words it quotes at the lowest
-    level; of several the one with most quoted characters, then the latest. Threads follow these links to their
-    first message. A conversation in reply order is its rows by (thread, place).
+    normalised and hashed, and joined, within a conversation, to the earliest message whose whole body they are, else to
+    the earliest that has the same passage or line among its own words, however short. A message answers the earlier message whose words it quotes at
+    the lowest level; of several the one with most quoted characters, then the latest, so that a chance match of a short
+    line yields to a longer passage. Threads follow these links to their first message. A conversation in reply order is
+    its rows by (thread, place). Hashes have 128 bits; the cost of a message grows in proportion to its lines.
 
     Columns: conv id, turn, role, reply_to (turn, null without a link), thread (turn of the thread's first message),
     depth (links up to it), place (0 up in the thread: every message before its replies, replies by turn), quote_level (deepest), n_quoted (lines), body (own lines; lines that only introduce a
     quote go as well). A null text has an empty body. Messages without an id or turn keep their bodies and link
-    nowhere. Rows that share conversation and turn share links. Identical passages of several messages belong to the
-    earliest. An empty table gives an empty result; extra columns are ignored.
+    nowhere. Rows that share conversation and turn share links. Identical bodies, and identical passages, belong to
+    the earliest message. An empty table gives an empty result; extra columns are ignored.
     """
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), parsed_lines(F.col(text_col)).alias("lines"))
     rows = rows.withColumn("quoted", F.filter("lines", lambda x: x["level"] > 0)).withColumn("passages", passages(F.col("lines")))
@@ -91,12 +90,15 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     own = F.transform(kept, lambda x: x["content"])
     single = F.transform("lines", lambda x: F.struct(x["level"].alias("level"), normalised(x["content"]).alias("passage")))
     body = F.struct(F.lit(-1).alias("level"), normalised(F.array_join(own, " ")).alias("passage"))
-    units = rows.where(F.col("conv").isNotNull() & F.col("turn").isNotNull()).select("conv", "turn", F.explode(F.array_distinct(F.concat("passages", single, F.array(body)))).alias("u"))
-    units = units.where("u.passage <> ''").select("conv", "turn", F.col("u.level").alias("level"), F.xxhash64("u.passage").alias("hash"), F.length("u.passage").alias("chars"))
+    # strings: distinct ones are found by hashing, structs by comparing all with all
+    spelt = lambda x: F.when(x["passage"] == "", "").otherwise(F.concat_ws(":", x["level"], F.xxhash64(x["passage"]), F.xxhash64(F.lit(1), x["passage"]), F.length(x["passage"])))
+    units = rows.where(F.col("conv").isNotNull() & F.col("turn").isNotNull()).select("conv", "turn", F.explode(F.array_distinct(F.transform(F.concat("passages", single, F.array(body)), spelt))).alias("u"))
+    units = units.where("u <> ''").select("conv", "turn", F.split("u", ":").alias("u"))
+    level, hash_, hash2, chars = (F.get("u", F.lit(i)).cast(kind) for i, kind in enumerate(("int", "long", "long", "int")))
+    units = units.select("conv", "turn", level.alias("level"), hash_.alias("hash"), hash2.alias("hash2"), chars.alias("chars"))
     quotes = units.where("level > 0")
-    # level -1: a whole body
-    origins = units.where("level <= 0").groupBy("conv", "hash").agg(F.min("turn").alias("any"), F.min(F.when(F.col("level") < 0, F.col("turn"))).alias("whole"))
-    votes = quotes.join(origins, ["conv", "hash"]).withColumn("origin", F.when(F.col("chars") >= LEAST_CHARS, F.col("any")).otherwise(F.col("whole"))).where("origin < turn").groupBy("conv", "turn", "level", "origin").agg(F.sum("chars").alias("chars"))
+    origins = units.where("level <= 0").groupBy("conv", "hash", "hash2").agg(F.min("turn").alias("any"), F.min(F.when(F.col("level") < 0, F.col("turn"))).alias("whole"))  # level -1: a whole body
+    votes = quotes.join(origins, ["conv", "hash", "hash2"]).withColumn("origin", F.when(F.col("whole") < F.col("turn"), F.col("whole")).otherwise(F.col("any"))).where("origin < turn").groupBy("conv", "turn", "level", "origin").agg(F.sum("chars").alias("chars"))
     best = votes.groupBy("conv", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), F.col("chars"), F.col("origin"))).alias("reply_to"))
     links = materialize(best)
 

@@ -165,7 +165,7 @@ p0 AS (SELECT *, sum(CASE WHEN last_level IS NULL OR last_level <> level OR last
 p AS (SELECT r, conv_id, turn, level, string_agg(norm, ' ' ORDER BY i) AS u FROM p0 WHERE norm <> '' GROUP BY r, conv_id, turn, level, run),
 u AS (SELECT DISTINCT r, conv_id, turn, level, u FROM (SELECT r, conv_id, turn, level, u FROM p UNION ALL SELECT r, conv_id, turn, level, norm FROM n UNION ALL SELECT r, conv_id, turn, -1, {_NORM.format("coalesce(string_agg(content, ' ' ORDER BY i), '')")} FROM n WHERE level = 0 AND NOT (regexp_matches(content, '{quotes.ATTRIBUTION}') AND coalesce(next_level, 0) > 0) GROUP BY r, conv_id, turn) WHERE u <> ''),
 o AS (SELECT conv_id, u, min(turn) AS anywhere, min(turn) FILTER (level < 0) AS whole FROM u WHERE level <= 0 GROUP BY ALL),
-votes AS (SELECT u.conv_id, u.turn, level, CASE WHEN length(u.u) >= {quotes.LEAST_CHARS} THEN anywhere ELSE whole END AS origin, sum(length(u.u)) AS chars FROM u JOIN o USING (conv_id, u) WHERE level > 0 AND origin < u.turn GROUP BY ALL),
+votes AS (SELECT u.conv_id, u.turn, level, CASE WHEN whole < u.turn THEN whole ELSE anywhere END AS origin, sum(length(u.u)) AS chars FROM u JOIN o USING (conv_id, u) WHERE level > 0 AND origin < u.turn GROUP BY ALL),
 links AS (SELECT conv_id, turn, origin AS reply_to FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, origin DESC) = 1),
 up AS (SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links UNION ALL SELECT up.conv_id, up.turn, k.reply_to, up.depth + 1 FROM up JOIN links k ON k.conv_id = up.conv_id AND k.turn = up.thread),
 tree AS (SELECT conv_id, reply_to AS turn, [reply_to] AS path FROM links WHERE (conv_id, reply_to) NOT IN (SELECT (conv_id, turn) FROM links) GROUP BY ALL UNION ALL SELECT k.conv_id, k.turn, list_append(tree.path, k.turn) FROM tree JOIN links k ON k.conv_id = tree.conv_id AND k.reply_to = tree.turn),

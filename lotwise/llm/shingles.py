@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lotwise.llm.common import materialize, sized
+from lotwise.llm.common import fresh, materialize, sized
 from lotwise.llm.graph import components
 from lotwise.llm.simhash import BITS, linked
 
@@ -241,23 +241,28 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     many = rows.join(sized(materialize(first.select("root", "first"))), "root")
     out = materialize(many.where(F.struct("id", "node") != F.col("first")).select("id", "node").distinct())
     again = materialize(rows.groupBy("id").agg(F.count("*").alias("members")).where("members > 1").select("id"))
+    own = fresh(docs, "own")
+    of = lambda ids: sized(ids.select(F.col("id").alias(own)))
+    same = F.col(id_col) == F.col(own)
     if again.isEmpty():  # an id names its row
-        return docs.join(sized(out.select(F.col("id").alias("__id"))), F.col(id_col) == F.col("__id"), "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).join(sized(again.select(F.col("id").alias("__id"))), F.col(id_col) == F.col("__id"), "left_semi")
-    single = docs.join(sized(again.select(F.col("id").alias("__id"))), F.col(id_col) == F.col("__id"), "left_anti")
-    single = single.join(sized(out.select(F.col("id").alias("__id")).distinct()), F.col(id_col) == F.col("__id"), "left_anti")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())])
+        return docs.join(of(out), same, "left_anti")
+    repeated = docs.where(F.col(id_col).isNotNull()).join(of(again), same, "left_semi")
+    single = docs.join(of(again), same, "left_anti")
+    single = single.join(of(out.select("id").distinct()), same, "left_anti")
+    set_, bytes_, hash_, of_set, least = (fresh(docs, c) for c in ("node", "bytes", "hash", "own_node", "least"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(set_, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index("__bytes"))
+            texts = b.column(b.num_columns - 1)
             node = np.array([xxhash.xxh3_64_intdigest(shingle_set(t.as_py()).tobytes()) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(node)], names=[*b.schema.names[:-1], "__node"])
-
-    keyed = repeated.withColumn("__bytes", F.col(text_col).cast("binary")).mapInArrow(run, schema)
-    gone = out.select(F.col("id").alias("__id"), F.col("node").alias("__gone"))
-    left = keyed.join(sized(gone), (F.col(id_col) == F.col("__id")) & (F.col("__node") == F.col("__gone")), "left_anti")
-    left = materialize(left.withColumn("__h", F.xxhash64(*docs.columns)).dropDuplicates([id_col, "__node", "__h"]))
-    one = left.groupBy(F.col(id_col).alias("__id"), F.col("__node").alias("__n")).agg(F.min("__h").alias("__least"))
-    left = left.join(one, (F.col(id_col) == F.col("__id")) & (F.col("__node") == F.col("__n")) & (F.col("__h") == F.col("__least")), "left_semi")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(node)], names=[*b.schema.names[:-1], set_])
+
+    keyed = repeated.withColumn(bytes_, F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    gone = out.select(F.col("id").alias(own), F.col("node").alias(of_set))
+    same = same & (F.col(set_) == F.col(of_set))
+    left = keyed.join(sized(gone), same, "left_anti")
+    left = materialize(left.withColumn(hash_, F.xxhash64(*docs.columns)).dropDuplicates([id_col, set_, hash_]))
+    one = left.groupBy(F.col(id_col).alias(own), F.col(set_).alias(of_set)).agg(F.min(hash_).alias(least))
+    left = left.join(one, same & (F.col(hash_) == F.col(least)), "left_semi")
     return single.unionByName(left.select(*docs.columns))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lotwise.llm.common import materialize, sized
+from lotwise.llm.common import fresh, materialize, sized
 from lotwise.llm.graph import components
 
 BITS = 64
@@ -48,51 +48,64 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> D
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def near(tree: list, x: int, radius: int) -> int | None:
-    """A code of the tree within the radius of x: below a node at distance d only edges from d - radius to d + radius
-    can lead to one."""
-    stack = [tree]
-    while stack:
-        code, children = stack.pop()
-        d = (code ^ x).bit_count()
-        if d <= radius:
-            return code
-        stack.extend(child for edge, child in children.items() if d - radius <= edge <= d + radius)
-    return None
-
-
-def insert(tree: list, x: int) -> None:
-    """Adds x below the child at its distance, down to a free edge."""
-    node = tree
-    while d := (node[0] ^ x).bit_count():
-        if d not in node[1]:
-            node[1][d] = [x, {}]
-            return
-        node = node[1][d]
+class Tree:
+    """A BK-tree of codes, whose children are keyed by their distance to the parent, and the groups that links make."""
+
+    def __init__(self, radius: int):
+        self.radius, self.root, self.up = radius, None, []
+
+    def group(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def meet(self, x: int) -> dict[int, int]:
+        """A code within the radius of x for each group that has one.
+
+        Below a node at distance d only edges from d - radius to d + radius can lead to one. A subtree of one group is left
+        out once that group is met, so that a family of near codes is not compared all with all.
+        """
+        met: dict[int, int] = {}
+        stack = [self.root] if self.root else []
+        while stack:
+            code, children, i, uniform = stack.pop()
+            g = self.group(i)
+            if uniform and g in met:
+                continue
+            d = (code ^ x).bit_count()
+            if d <= self.radius and g not in met:
+                met[g] = code
+                if uniform:
+                    continue
+            low, high = d - self.radius, d + self.radius
+            stack.extend(child for edge, child in children.items() if low <= edge <= high)
+        return met
+
+    def add(self, x: int) -> dict[int, int]:
+        """Puts x below the child at its distance, down to a free edge, and links it with the groups that it meets."""
+        met, i = self.meet(x), len(self.up)
+        self.up.append(i)
+        for g in met:
+            self.up[g] = i
+        if self.root is None:
+            self.root = [x, {}, i, True]
+            return met
+        node = self.root
+        while True:
+            if node[3] and self.group(node[2]) != i:
+                node[3] = False
+            d = (node[0] ^ x).bit_count()
+            if d not in node[1]:
+                node[1][d] = [x, {}, i, True]
+                return met
+            node = node[1][d]
 
 
 def _tree_edges(codes: list[int], radius: int) -> list[tuple[int, int]]:
-    """Edges that connect what is within the radius, one for each group that a code meets, not one for each pair.
-
-    Every group of codes linked so far has its BK-trees; a code that meets several groups joins them.
-    """
-    groups: list[list[list]] = []
-    edges = []
-    for x in codes:
-        met = []
-        for g in groups:
-            hit = next((v for tree in g if (v := near(tree, x, radius)) is not None), None)
-            if hit is not None:
-                edges.append((x, hit))
-                met.append(g)
-        if not met:
-            groups.append([[x, {}]])
-            continue
-        insert(met[0][0], x)
-        for g in met[1:]:
-            met[0].extend(g)
-            groups = [other for other in groups if other is not g]
-    return edges
+    """Edges that connect the distinct codes within the radius: one for each group that a code meets in the shard's tree,
+    not one for each pair."""
+    tree = Tree(radius)
+    return [(x, y) for x in codes for y in tree.add(x).values()]
 
 
 def link(codes: list[int], radius: int, free: int = (1 << BITS) - 1) -> list[tuple[int, int]]:
@@ -206,13 +219,15 @@ def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str = "
     Rows without an id stay. Of rows that share an id one stays: the one with the smallest text hash.
     """
     found = near_duplicates(docs, radius, shingle, id_col, text_col)
-    out = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__out")).distinct())
-    kept = docs.join(sized(out), F.col(id_col) == F.col("__out"), "left_anti")
-    many = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"))
+    own, hash_, least = (fresh(docs, c) for c in ("own", "hash", "least"))
+    same = F.col(id_col) == F.col(own)
+    out = materialize(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own)).distinct())
+    kept = docs.join(sized(out), same, "left_anti")
+    many = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.count("*").alias("n")).where("n > 1").select(own))
     if many.isEmpty():
         return kept
-    twice = kept.join(sized(many), F.col(id_col) == F.col("__id"), "left_semi")
-    one = twice.withColumn("__h", F.xxhash64(*docs.columns)).dropDuplicates([id_col, "__h"])
-    least = one.groupBy(F.col(id_col).alias("__id")).agg(F.min("__h").alias("__least"))
-    one = one.join(least, (F.col(id_col) == F.col("__id")) & (F.col("__h") == F.col("__least")), "left_semi")
-    return kept.join(sized(many), F.col(id_col) == F.col("__id"), "left_anti").unionByName(one.select(*docs.columns))
+    twice = kept.join(sized(many), same, "left_semi")
+    one = twice.withColumn(hash_, F.xxhash64(*docs.columns)).dropDuplicates([id_col, hash_])
+    first = one.groupBy(F.col(id_col).alias(own)).agg(F.min(hash_).alias(least))
+    one = one.join(first, same & (F.col(hash_) == F.col(least)), "left_semi")
+    return kept.join(sized(many), same, "left_anti").unionByName(one.select(*docs.columns))

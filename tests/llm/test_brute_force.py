@@ -195,10 +195,10 @@ def test_reply_order(spark, monkeypatch):
     assert got == expected
 
 
-def test_short_quotes_need_a_whole_message(spark):
+def test_whole_messages_come_before_parts_of_others(spark):
     rows = [(1, 0, "u", "yes\nand more of it"), (1, 1, "u", "> yes\nwhy"), (1, 2, "u", "yes"), (1, 3, "u", "> yes\nok then"), (1, 4, "u", "> and more of it\nfine"), (1, 5, "u", "> ok then\nlast")]
     got = {r.turn: (r.reply_to, r.thread, r.place) for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert got == {0: (None, 0, 0), 1: (None, 1, 0), 2: (None, 2, 0), 3: (2, 2, 1), 4: (0, 0, 1), 5: (3, 2, 2)}
+    assert got == {0: (None, 0, 0), 1: (0, 0, 1), 2: (None, 2, 0), 3: (2, 2, 1), 4: (0, 0, 2), 5: (3, 2, 2)}
 
 
 def test_filter_has_no_false_negatives(spark, monkeypatch):

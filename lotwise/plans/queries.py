@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lotwise.functions import formats, text as X, vocabulary as V
-from lotwise.operators import audit, brands, business, category, clean as cleaner, products, rollups, search, status
+from lotwise.operators import audit, brands, business, category, clean as cleaner, products, rollups, search, search_index, status
 from lotwise.plans import reference_sql as R
 from lotwise.sources import exports, grid, tables
 from lotwise.sources.inventory import INVENTORY_SQL, inventory
@@ -441,17 +442,43 @@ def reconciliation_report(spark, sf):
 
 # --- search, questions, entities -----------------------------------------------------------------------------------
 
+def indexed(spark: SparkSession, sf: str) -> search_index.Index:
+    """The search index of the categorized records, built once for each application and state of the input files."""
+    folder = f"{tables.shared_folder(spark)}/search/{hashlib.sha256(repr((spark.sparkContext.applicationId, _state(spark, sf))).encode()).hexdigest()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows/_SUCCESS")  # the last table
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return search_index.load(spark, folder)
+    return search_index.build(categorized(spark, sf), folder)
+
+
+_texts = "unnest(list_distinct([" + ", ".join(f"lower(coalesce({c}, ''))" for c in search.SEARCHED) + "]))"
+
+
+@query(R.with_category(f", t AS (SELECT _source_row, {_texts} AS text FROM cat), v AS (SELECT text, count(*) AS n FROM t WHERE length(text) >= 3 GROUP BY 1), g AS (SELECT text, n, unnest(list_distinct(list_transform(range(1, CAST(length(text) AS INT) - 1), lambda i: substr(text, i, 3)))) AS gram FROM v) SELECT gram, count(*) AS values, CAST(sum(n) AS BIGINT) AS listed FROM g GROUP BY 1"))
+def search_grams(spark, sf):
+    """What the index holds: for each gram its values, and how many rows are listed for them."""
+    index = indexed(spark, sf)
+    listed = index.rows.groupBy("vid").agg(F.sum(F.size("rows")).alias("n"))
+    return index.grams.select("gram", F.explode("values").alias("vid")).join(listed, "vid").groupBy("gram").agg(F.count("*").alias("values"), F.sum("n").alias("listed"))
+
+
 _search = " OR ".join(f"contains(lower(coalesce({c}, '')), 'atta')" for c in search.SEARCHED)
 
 
 @query(R.with_category(f"SELECT _source_row FROM cat WHERE ({_search}) AND _sheet_name = 'Saleable' AND status = 'sellable'"))
 def filtered_records(spark, sf):
-    return search.filtered(categorized(spark, sf), "Atta", _sheet_name="Saleable", status="sellable").select("_source_row")
+    return search_index.filtered(indexed(spark, sf), "Atta", _sheet_name="Saleable", status="sellable").select("_source_row")
 
 
 @query(R.with_category(f"SELECT _source_row, (SELECT count(*) FROM cat WHERE {_search}) AS matches FROM cat WHERE {_search} ORDER BY _source_row LIMIT 20"))
 def global_search(spark, sf):
-    return search.find(categorized(spark, sf), "atta", 20).select("_source_row", "matches")
+    return search_index.find(indexed(spark, sf), "atta", 20).select("_source_row", "matches")
+
+
+@query(R.with_category("SELECT _source_row FROM cat WHERE contains(lower(coalesce(normalized_brand, '')), '22') OR contains(lower(coalesce(item_id, '')), '22') OR contains(lower(coalesce(upc, '')), '22') OR contains(lower(coalesce(normalized_product_name, '')), '22') OR contains(lower(coalesce(normalized_category, '')), '22') OR contains(lower(coalesce(normalized_warehouse, '')), '22')"))
+def short_search(spark, sf):
+    """A text shorter than the index's grams."""
+    return search_index.filtered(indexed(spark, sf), " 22 ").select("_source_row")
 
 
 @query(R.with_category(f"SELECT {R.MEASURES} FROM cat WHERE contains(lower(raw_bad_inventory_type), 'near') OR contains(lower(raw_bad_inventory_type), 'expir')"))

@@ -20,8 +20,16 @@ def measures(sku: str = "product_family_id") -> list[Column]:
 
 
 def rollup_by(records: DataFrame, *by: str, sku: str = "product_family_id") -> DataFrame:
-    """Common measures by any columns: category, subcategory, brand, sheet, warehouse and so on."""
-    return records.groupBy(*by).agg(*measures(sku))
+    """Common measures by any columns: category, subcategory, brand, sheet, warehouse and so on.
+
+    Each aggregate counts one column's distinct values, so that Spark need not expand every row for two of them; the
+    second reads its columns only. They meet as a union, in which null groups match.
+    """
+    own = measures(sku)
+    first = records.groupBy(*by).agg(*own[:-1])
+    second = records.groupBy(*by).agg(own[-1])
+    names = [c for c in first.columns if c not in by]
+    return first.unionByName(second, allowMissingColumns=True).groupBy(*by).agg(*(F.max(c).alias(c) for c in [*names, "brands"]))
 
 
 def kind() -> Column:
@@ -49,14 +57,18 @@ def with_nulls(c: str) -> Column:
 
 
 def kpis(records: DataFrame, sku: str = "product_family_id", brand: str = "normalized_brand") -> DataFrame:
+    """One row of totals. Every distinct count is an aggregate of its own, which reads one column and expands no row."""
     k = kind()
     of = lambda *kinds: F.round(F.sum(F.when(k.isin(*kinds), F.col("source_value")).otherwise(0.0)), 2)
     conf = lambda c: F.count_if(F.col("subcategory_confidence") == c)
-    return records.agg(
-        with_nulls(sku).alias("total_skus"), F.round(F.sum("qty"), 2).alias("total_units"), F.round(F.sum("source_value"), 2).alias("total_value"), F.round(F.sum("total_weight"), 3).alias("total_weight"),
-        of("damaged").alias("damaged_value"), of("near_expiry", "nearexpiry").alias("near_expiry_value"), F.countDistinct("normalized_warehouse").alias("warehouse_count"), with_nulls(brand).alias("brand_count"),
-        with_nulls("normalized_category").alias("category_count"), conf("HIGH").alias("confidence_high"), conf("MEDIUM").alias("confidence_medium"), conf("LOW").alias("confidence_low"),
+    sums = records.agg(
+        F.round(F.sum("qty"), 2).alias("total_units"), F.round(F.sum("source_value"), 2).alias("total_value"), F.round(F.sum("total_weight"), 3).alias("total_weight"),
+        of("damaged").alias("damaged_value"), of("near_expiry", "nearexpiry").alias("near_expiry_value"), conf("HIGH").alias("confidence_high"), conf("MEDIUM").alias("confidence_medium"), conf("LOW").alias("confidence_low"),
     )
+    counts = {"total_skus": with_nulls(sku), "warehouse_count": F.countDistinct("normalized_warehouse"), "brand_count": with_nulls(brand), "category_count": with_nulls("normalized_category")}
+    for name, count in counts.items():
+        sums = sums.crossJoin(F.broadcast(records.agg(count.alias(name))))  # one row each
+    return sums
 
 
 def status_distribution(records: DataFrame) -> DataFrame:
@@ -67,9 +79,43 @@ def confidence_distribution(records: DataFrame) -> DataFrame:
     return records.groupBy("subcategory_confidence").agg(F.count("*").alias("count"))
 
 
-def category_summary(records: DataFrame, sku: str = "product_family_id") -> DataFrame:
-    """Categories, subcategories and the grand total in one pass, with level and share of all value and of the category's."""
-    rolled = records.rollup("normalized_category", "subcategory").agg(F.grouping_id().alias("g"), *measures(sku))
+LEVELS = [["normalized_category", "subcategory"], ["normalized_category"], []]
+
+
+def bitmaps(leaves: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of columns in every (category, subcategory): normalized_category, subcategory, column, bucket, bits.
+
+    Values get numbers, dense within each part of the distinct values. A bitmap covers a bucket of 32,768 numbers, so its
+    size is bounded, and bitmaps can be united: what holds for a category follows from its subcategories.
+    """
+    named = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
+    held = leaves.select(*LEVELS[0], named.alias("v")).select(*LEVELS[0], "v.column", "v.value").where("value is not null").distinct()
+    codes = held.select("column", "value").distinct().sortWithinPartitions("column", "value").withColumn("code", F.monotonically_increasing_id())
+    coded = held.join(codes, ["column", "value"])
+    return coded.groupBy(*LEVELS[0], "column", F.bitmap_bucket_number("code").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("bits"))
+
+
+def category_summary(records: DataFrame, sku: str = "product_family_id", count: str | None = None) -> DataFrame:
+    """Categories, subcategories and the grand total, with level and share of all value and of the category's.
+
+    Records are summed once, by (category, subcategory, sku, brand); all levels combine from that. Distinct skus and brands
+    are exact: bitmaps over numbered values, united for each level. ``count`` names a column of row numbers if the
+    records are sums already.
+    """
+    summed = ["records", "qty", "source_value", "total_weight", "total_volume_l"]
+    cells = shared_table(records.groupBy(*LEVELS[0], sku, "normalized_brand").agg((F.sum(count) if count else F.count("*")).alias("records"), *(F.sum(c).alias(c) for c in summed[1:])))
+    bits, rolled = shared_table(bitmaps(cells, [sku, "normalized_brand"])), None
+    for g, by in zip((0, 1, 3), LEVELS):
+        sums = cells.groupBy(*by).agg(*(F.sum(c).alias(c) for c in summed))
+        united = bits.groupBy(*by, "column", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+        of = lambda c: F.coalesce(F.sum(F.when(F.col("column") == c, F.col("n"))), F.lit(0))  # noqa: E731, B023
+        counts = united.groupBy(*by).agg(of(sku).alias("skus"), of("normalized_brand").alias("brands"))
+        one = sums.unionByName(counts, allowMissingColumns=True).groupBy(*by).agg(
+            F.max("records").alias("records"), F.round(F.max("qty"), 2).alias("units"), F.round(F.max("source_value"), 2).alias("value"), F.round(F.max("total_weight"), 3).alias("weight"),
+            F.round(F.max("total_volume_l"), 3).alias("volume"), F.coalesce(F.max("skus"), F.lit(0)).alias("skus"), F.coalesce(F.max("brands"), F.lit(0)).alias("brands"),
+        ).withColumn("g", F.lit(g))
+        rolled = one if rolled is None else rolled.unionByName(one, allowMissingColumns=True)
+    rolled = rolled.select(*LEVELS[0], "g", "records", "units", "value", "weight", "volume", "skus", "brands")
     level = F.when(F.col("g") == 0, "subcategory").when(F.col("g") == 1, "category").otherwise("total")
     share = lambda w: F.when(F.sum("value").over(w) != 0, F.round(100 * F.col("value") / F.sum("value").over(w), 2)).otherwise(0.0)
     of = rolled.withColumn("level", level)

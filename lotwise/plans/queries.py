@@ -12,7 +12,7 @@ from lotwise.operators import audit, brands, business, category, clean as cleane
 from lotwise.plans import reference_sql as R
 from lotwise.sources import exports, grid, tables
 from lotwise.sources.inventory import INVENTORY_SQL, inventory
-from lotwise.streaming import events as ev
+from lotwise.streaming import events as ev, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -315,6 +315,37 @@ def product_families(spark, sf):
     return products.families(grouped(spark, sf))
 
 
+def loaded(spark: SparkSession, sf: str) -> str:
+    """The folder of a state that took the datasets one after the other, loaded once for each application and input."""
+    folder = f"{tables.shared_folder(spark)}/loads/{hashlib.sha256(repr((spark.sparkContext.applicationId, _state(spark, sf))).encode()).hexdigest()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/done")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        records = categorized(spark, sf)
+        for number, dataset in enumerate(sorted(r[0] for r in records.select("dataset_id").distinct().collect())):
+            incremental.load(folder, number, records.where(F.col("dataset_id") == dataset))
+        fs.mkdirs(path)
+    return folder
+
+
+@query(R.with_family("SELECT product_family_id, arg_min(normalized_product_name, _source_row) AS name, count(*) AS record_count, count(DISTINCT product_variant_id) AS variant_count, round(sum(qty), 2) AS total_qty, round(sum(source_value), 2) AS total_value, round(sum(total_weight), 3) AS total_weight FROM pv GROUP BY 1"))
+def incremental_families(spark, sf):
+    """As product_families, of datasets that came one after the other."""
+    return incremental.families(spark, loaded(spark, sf))
+
+
+@query(R.with_brand(_master))
+def incremental_brands(spark, sf):
+    """As brand_master, of datasets that came one after the other."""
+    return incremental.brand_master(spark, loaded(spark, sf)).select("brand_fingerprint", "canonical_brand_name", "record_count", "total_qty", "total_value", "total_weight")
+
+
+@query(R.with_category(f", r AS (SELECT normalized_category, subcategory, grouping(normalized_category, subcategory) AS g, {R.MEASURES} FROM cat GROUP BY ROLLUP (normalized_category, subcategory)) SELECT normalized_category, subcategory, records, units, value, weight, volume, skus, brands, CASE g WHEN 0 THEN 'subcategory' WHEN 1 THEN 'category' ELSE 'total' END AS level FROM r"))
+def incremental_summary(spark, sf):
+    """As category_summary, of datasets that came one after the other."""
+    return incremental.category_summary(spark, loaded(spark, sf)).drop("share_of_level", "share_of_category")
+
+
 @query(R.with_family("SELECT product_variant_id, product_family_id, min(normalized_uom) AS uom, min(variant_mrp) AS mrp, count(*) AS record_count, round(sum(qty), 2) AS total_qty, round(sum(source_value), 2) AS total_value FROM pv GROUP BY ALL"))
 def product_variants(spark, sf):
     return products.variants(grouped(spark, sf))

@@ -22,6 +22,8 @@ ROWS, BANDS = 6, 40
 WORDS = -(-ROWS * BANDS // 64)
 _MIX = np.random.default_rng(42).integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _BATCH = 1 << 11
+#: Rows whose sets a task holds at a time.
+PART = 256
 #: Bits in which SimHash codes may differ to be linked first. At a similarity of 0.8 about 10 of 64 differ.
 LINKED = 4
 #: Of a set's minima one bit each is kept. Members of a band are compared if at most so many differ: at 0.8 a tenth of
@@ -76,7 +78,7 @@ def simhash_code(hashes: np.ndarray) -> int:
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, node, n, fp, bits, bands, shingles) of every row; node tells distinct sets apart, and rows of one node are copies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(i, PART) for batch in batches for i in range(0, batch.num_rows, PART)):
             sets = [shingle_set(t.as_py()) for t in b.column(1)]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             codes = np.array([simhash_code(s) for s in sets], np.uint64).view(np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -310,6 +311,46 @@ def merged_brands(spark, sf):
     return brands.merge_brands(brands.brand_master(categorized(spark, sf)), merges).drop("raw_brand_names")
 
 
+#: Brands that end in a number are merged into the next number, up to the next multiple of five: chains of up to four merges.
+_chains = f"""WITH RECURSIVE {R.BRAND_SQL}, m AS ({_master}), c AS (SELECT brand_fingerprint AS retired, CAST(CAST(split_part(brand_fingerprint, ' ', 1) AS INT) + 1 AS VARCHAR) || ' brand' AS kept FROM m WHERE regexp_full_match(brand_fingerprint, '\\d+ brand') AND CAST(split_part(CASE WHEN regexp_full_match(brand_fingerprint, '\\d+ brand') THEN brand_fingerprint ELSE '0' END, ' ', 1) AS INT) % 5 <> 0),
+e AS (SELECT * FROM c WHERE kept IN (SELECT brand_fingerprint FROM m)), r(retired, kept) AS (SELECT * FROM e UNION SELECT r.retired, e.kept FROM r JOIN e ON e.retired = r.kept), f AS (SELECT * FROM r WHERE kept NOT IN (SELECT retired FROM e))"""
+
+
+def chained_merges(master: DataFrame) -> DataFrame:
+    number = F.regexp_extract("brand_fingerprint", r"^(\d+) brand$", 1).try_cast("int")
+    return master.where(number % 5 != 0).select(F.col("brand_fingerprint").alias("retired"), F.concat((number + 1).cast("string"), F.lit(" brand")).alias("kept"))
+
+
+@query(f"{_chains}, g AS (SELECT m.*, coalesce(kept, brand_fingerprint) AS into_fp FROM m LEFT JOIN f ON f.retired = m.brand_fingerprint) SELECT into_fp AS brand_fingerprint, max(CASE WHEN into_fp = brand_fingerprint THEN canonical_brand_name END) AS canonical_brand_name, CAST(sum(record_count) AS BIGINT) AS record_count, round(sum(total_qty), 2) AS total_qty, round(sum(total_value), 2) AS total_value, round(sum(total_weight), 3) AS total_weight FROM g GROUP BY 1")
+def chained_brands(spark, sf):
+    """The master after merges that form chains."""
+    master = tables.shared_table(brands.brand_master(categorized(spark, sf)))
+    return brands.merge_brands(master, chained_merges(master)).drop("raw_brand_names")
+
+
+@query(f"{_chains} SELECT _source_row, k.canonical_brand_name AS normalized_brand, sha1(k.brand_fingerprint) AS brand_id FROM bf LEFT JOIN f ON f.retired = bf.brand_fingerprint JOIN m k ON k.brand_fingerprint = coalesce(f.kept, bf.brand_fingerprint)")
+def relabelled_records(spark, sf):
+    """Records after the same merges."""
+    r = categorized(spark, sf)
+    master = tables.shared_table(brands.brand_master(r))
+    return brands.merge_records(brands.assign_brands(r, master), master, chained_merges(master)).select("_source_row", "normalized_brand", "brand_id")
+
+
+_claimed = "CASE length(normalized_product_name) % 4 WHEN 0 THEN 'Pure ' || normalized_product_name WHEN 1 THEN normalized_product_name || ' Fresh Select' WHEN 2 THEN normalized_product_name || ' Maida' ELSE normalized_product_name END"
+_sub = " OR ".join(f"regexp_matches(w, {R.q(p)})" for p in products.GROCERY_SUBSTITUTIONS)
+_differs = f"list_filter(list_concat(list_filter(a.w, lambda w: NOT list_contains(b.w, w)), list_filter(b.w, lambda w: NOT list_contains(a.w, w))), lambda w: NOT (w IN ({', '.join(map(R.q, products.GROCERY_CLAIMS))}) OR {_sub}))"
+_identity = f"list_sort(list_filter(w, lambda x: x IN ({', '.join(map(R.q, products.GROCERY_IDENTITY))})))"
+
+
+@query(f"""WITH RECURSIVE {R.CATEGORY_SQL}, d AS (SELECT DISTINCT {_claimed} AS name, normalized_category FROM cat), t AS (SELECT name, normalized_category, string_split({R._tokens.replace('normalized_product_name', 'name')}, ' ') AS w FROM d WHERE {R._tokens.replace('normalized_product_name', 'name')} <> ''),
+i AS (SELECT *, {_identity} AS own FROM t), p AS (SELECT a.name AS a, b.name AS b, a.normalized_category AS c FROM i a JOIN i b ON a.normalized_category = b.normalized_category AND a.own = b.own WHERE a.w = b.w OR (len({_differs}) = 0 AND len(list_intersect(a.w, b.w)) >= 2)),
+r(a, b, c) AS (SELECT a, b, c FROM p UNION SELECT r.a, p.b, r.c FROM r JOIN p ON p.a = r.b AND p.c = r.c) SELECT a AS name, c AS normalized_category, min(b) AS product FROM r GROUP BY 1, 2""")
+def identity_products(spark, sf):
+    """Names of a category, some with claims added, by the grocery profile: each with the first name of its product."""
+    names = categorized(spark, sf).select(F.expr(_claimed).alias("name"), "normalized_category").distinct()
+    return products.identity_groups(names, products.PROFILES["grocery_fmcg"], "normalized_category")
+
+
 @query(R.with_family("SELECT product_family_id, arg_min(normalized_product_name, _source_row) AS name, count(*) AS record_count, count(DISTINCT product_variant_id) AS variant_count, round(sum(qty), 2) AS total_qty, round(sum(source_value), 2) AS total_value, round(sum(total_weight), 3) AS total_weight FROM pv GROUP BY 1"))
 def product_families(spark, sf):
     return products.families(grouped(spark, sf))
@@ -664,6 +705,24 @@ def funnel_progressions(spark, sf):
     return ev.progressions(events(spark, sf)).select("event_id", "is_progression", F.col("since_last").isNull().alias("is_first"))
 
 
+_since = "round(epoch_us(ts) / 1e6 - epoch_us({}(ts) OVER w) / 1e6, 3)"
+_times = f"{_since.format('first')} AS since_start, {_since.format('lag')} AS since_last"
+_window = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query(f"SELECT event_id, {_times} FROM events {_window}")
+def progression_times(spark, sf):
+    return ev.progressions(events(spark, sf)).select("event_id", "since_start", "since_last")
+
+
+@query(f"SELECT user_id, event_id, ts, {_times}, coalesce({_stage} > coalesce(max({_stage}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), false) AS is_progression FROM events {_window}")
+def streamed_progressions(spark, sf):
+    """The events, in the order of a hash, as a stream with keyed state; as funnel_progressions and progression_times."""
+    e = events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = ev.replayed_progressions(e.repartition(4, F.xxhash64("event_id")), f"{tables.shared_folder(spark)}/streams/{uuid.uuid4().hex}", "31 days")
+    return out.withColumn("ts", F.col("ts").cast(events(spark, sf).schema["ts"].dataType))
+
+
 @query("WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, k")
 def event_sessions(spark, sf):
     return ev.sessions(events(spark, sf))

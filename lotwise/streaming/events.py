@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Stages of the funnel, in order, and events that count as another stage as well.
 STAGES = ["landing_viewed", "auth_started", "auth_success", "upload_started", "upload_completed", "dashboard_viewed", "meaningful_action"]
@@ -104,6 +106,71 @@ def progressions(events: DataFrame, session: str = "user_id", event: str = "even
     )
 
 
+_MICROS = 1_000_000
+_NEVER = -(1 << 62)
+
+
+def progression_stream(events: DataFrame, delay: str, session: str = "user_id", event: str = "event_type", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """What progressions adds, on a stream: session, tie, ts, since_start, since_last, is_progression of every event, once the
+    watermark has passed it.
+
+    The state of a session is its start, its last event, its furthest stage, and the events that may still be preceded by
+    a late one: those within ``delay`` of the newest. They are put out in order of time and tie, at the latest when the
+    session's timeout ends, so a session that falls silent gives its last events too. Events later than the delay are
+    dropped by the watermark, which starts at 1970, and so are events without a time. Null sessions are one session, as in
+    batch.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = events.withWatermark(ts, delay).where(F.col(ts).isNotNull()).select(F.when(F.col(session).isNull(), "").otherwise(F.concat(F.lit("="), F.col(session).cast("string"))).alias("session"), F.col(tie).cast("long").alias("tie"), ts, micros.alias("at"), F.coalesce(stage_of(event), F.lit(-1)).cast("long").alias("stage"))
+    out = "session string, tie long, at long, first long, last long, is_progression boolean"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, last, furthest, at, tie, stage = state.get if state.exists else (_NEVER, _NEVER, -1, [], [], [])
+        waiting = list(zip(at, tie, stage))
+        if not state.hasTimedOut:
+            for b in batches:
+                waiting += zip(b["at"].tolist(), b["tie"].tolist(), b["stage"].tolist())
+        waiting.sort()
+        passed, rows = state.getCurrentWatermarkMs() * 1000, []
+        for n, (a, t, s) in enumerate(waiting):
+            if a > passed:
+                waiting = waiting[n:]
+                break
+            first = a if first == _NEVER else first
+            rows.append((key[0], t, a, first, last, s > furthest))
+            last, furthest = a, max(furthest, s)
+        else:
+            waiting = []
+        state.update((first, last, furthest, *([w[i] for w in waiting] for i in range(3))))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0], passed) // 1000 + 1)
+        yield pd.DataFrame(rows, columns=["session", "tie", "at", "first", "last", "is_progression"])
+
+    kept = "first long, last long, furthest long, at array<long>, tie array<long>, stage array<long>"
+    found = rows.groupBy("session").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    since = lambda c: F.when(F.col(c) != _NEVER, F.round(F.col("at") / _MICROS - F.col(c) / _MICROS, 3))
+    named = F.when(F.col("session") != "", F.substring("session", 2, 1 << 30)).cast(events.schema[session].dataType)
+    return found.select(named.alias(session), F.col("tie").alias(tie), F.timestamp_micros("at").alias(ts), since("first").alias("since_start"), since("last").alias("since_last"), "is_progression")
+
+
+def replayed_progressions(events: DataFrame, folder: str, delay: str = "1 hour", **columns: str) -> DataFrame:
+    """progression_stream over a table, read as a stream of its files, and its rows when the stream has ended.
+
+    One more event, long after the others, lets the watermark pass them; its own row never comes.
+    """
+    spark, ts = events.sparkSession, columns.get("ts", "ts")
+    events.write.mode("overwrite").parquet(f"{folder}/events/0")
+    rows = spark.read.parquet(f"{folder}/events/0")
+    last = rows.agg(F.max(ts).alias(ts)).where(F.col(ts).isNotNull()).withColumn(ts, (F.col(ts) + F.expr(f"interval {delay}") + F.expr("interval 1 day")).cast(rows.schema[ts].dataType))
+    last = last.withColumn(columns.get("tie", "event_id"), F.lit(0))
+    rows.limit(0).unionByName(last, allowMissingColumns=True).coalesce(1).write.mode("overwrite").parquet(f"{folder}/events/1")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{folder}/events")
+    found = progression_stream(stream, delay, **columns)
+    q = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", watermark: str | None = None) -> DataFrame:
     """Sessions of a user: a gap of 30 minutes ends one. With a watermark the same call serves a stream."""
     e = events.withWatermark(ts, watermark) if watermark else events

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lotwise.functions import text as X, vocabulary as V
-from lotwise.sources.tables import once_for_each
+from lotwise.sources.tables import once_for_each, shared_table, sized
 
 OTHER = "Other / Uncategorized"
 BASE = "Grocery"
+#: A taxonomy of up to so many keywords is broadcast; a larger one is joined by a shuffle.
+BROADCAST_KEYWORDS = 200_000
 
 
 def pattern(words: V.Words) -> str:
@@ -52,23 +55,46 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def keyword_score(keywords: V.Words, text: str, words: str) -> str:
-    r"""SQL of the summed length of the keywords found; those given as \b...\b among the words, others anywhere in the text."""
-    def found(kept: list[str], holds: str) -> str:
-        return f"aggregate(filter(array({', '.join(map(_quoted, kept))}), k -> {holds}), 0, (n, k) -> n + length(k))" if kept else "0"
-    plain, whole = [k for k in keywords if not k.startswith("\\b")], [k[2:-2] for k in keywords if k.startswith("\\b")]
-    return found(plain, f"contains({text}, k)") + " + " + found(whole, f"array_contains({words}, k)")
+#: Keywords meet texts on one gram of at most so many letters each.
+GRAM = 3
 
 
-def best_subcategory(text: str, words: str, category: str, taxonomy: Sequence[tuple[str, str, V.Words]]) -> Column:
-    """The category's best-scoring subcategory; the first on ties or without a hit; null for an unknown category. One SQL
-    expression over three columns: a taxonomy has hundreds of keywords, and as many calls would take longer than the job."""
-    cases = []
-    for name in dict.fromkeys(c for c, _, _ in taxonomy):
-        own = [(s, k) for c, s, k in taxonomy if c == name]
-        scored = ", ".join(f"named_struct('score', {keyword_score(k, text, words)}, 'at', {-i}, 'sub', {_quoted(s)})" for i, (s, k) in enumerate(own))
-        cases.append(f"WHEN {category} = {_quoted(name)} THEN array_max(array({scored})).sub")
-    return F.expr(f"CASE {' '.join(cases)} END") if cases else F.lit(None).cast("string")
+def keyword_table(spark: SparkSession, taxonomy: Sequence[tuple[str, str, V.Words]]) -> DataFrame:
+    r"""The keywords of a taxonomy as rows: category, at (place of the subcategory in the category), sub, word, whole (given as
+    \b...\b), gram (the rarest of its grams among all keywords)."""
+    rows, place, seen = [], Counter(), Counter()
+    grams = lambda w: [w[i : i + GRAM] for i in range(max(len(w) - GRAM, 0) + 1)]
+    plain = lambda k: k[2:-2] if k.startswith("\\b") else k
+    for _, _, words in taxonomy:
+        seen.update(g for k in words for g in grams(plain(k)))
+    for category, sub, words in taxonomy:
+        for k in words:
+            rows.append((category, place[category], sub, plain(k), k.startswith("\\b"), min(grams(plain(k)), key=lambda g: (seen[g], g))))
+        place[category] += 1
+    return spark.createDataFrame(rows, "category string, at int, sub string, word string, whole boolean, gram string")
+
+
+def best_subcategories(texts: DataFrame, taxonomy: Sequence[tuple[str, str, V.Words]]) -> DataFrame:
+    """Distinct (text, category) with the category's best-scoring subcategory: columns text, category, keyword.
+
+    A subcategory scores the summed length of its keywords in the text, those given as whole words among its words, others
+    anywhere. The first wins on ties and without a hit; a category that the taxonomy lacks has none. Texts are not compared
+    with every keyword: their grams are joined with the one gram that each keyword is filed under, and what meets is
+    verified, so the cost of a text follows its length and hits, not the number of keywords.
+    """
+    spark = texts.sparkSession
+    words = keyword_table(spark, taxonomy)
+    n = sum(len(k) for _, _, k in taxonomy)
+    words = F.broadcast(words) if n <= BROADCAST_KEYWORDS else words
+    lengths = sorted({min(len(k[2:-2] if k.startswith("\\b") else k), GRAM) for _, _, ks in taxonomy for k in ks})
+    cut = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1))), lambda i: F.substring("text", i, size))
+    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *map(cut, lengths)))
+    met = texts.select("text", "category", F.explode(pieces).alias("gram")).join(words, ["category", "gram"])
+    holds = F.when(F.col("whole"), F.array_contains(F.split("text", r"[^a-z0-9]+"), F.col("word"))).otherwise(F.col("text").contains(F.col("word")))
+    scores = met.where(holds).groupBy("text", "category", "at", "sub").agg(F.sum(F.length("word")).alias("score"))
+    best = scores.groupBy("text", "category").agg(F.max_by("sub", F.struct("score", -F.col("at"))).alias("best"))
+    first = spark.createDataFrame(list({c: s for c, s, _ in reversed(list(taxonomy))}.items()), "category string, first string")
+    return texts.join(best, ["text", "category"], "left").join(F.broadcast(first), "category").select("text", "category", F.coalesce("best", "first").alias("keyword"))
 
 
 def _looked_up(column: str, pairs: dict[str, str]) -> Column:
@@ -96,7 +122,6 @@ def _by_rules(records: DataFrame, domains: Sequence[V.Rule], foods: Sequence[V.F
             "__mapped_cat": _looked_up("__raw", {k: c for k, (c, _) in raw_map.items()}),
             "__mapped_sub": _looked_up("__raw", {k: c for k, (_, c) in raw_map.items() if c}),
             "__given": _looked_up("__raw", {c.lower(): c for c in known if c.lower() not in raw_map}),
-            "__words": F.split("__both", r"[^a-z0-9]+"),
         }
     )
     r = r.withColumn("__locked", F.when(~F.col("__given").isin(*unlocked), F.col("__given")))
@@ -134,7 +159,12 @@ def _by_rules(records: DataFrame, domains: Sequence[V.Rule], foods: Sequence[V.F
 
     main = F.coalesce(F.when(F.col("__food").isNotNull(), F.lit(BASE)), F.col("__mapped_cat"), F.col("__given"), F.when(raw != "", X.title_at_boundaries("source_category")), F.lit(OTHER))
     r = r.withColumn("__main", F.coalesce("__locked", "__domain.cat", main))
-    keyword = F.coalesce(best_subcategory("__both", "__words", "__main", taxonomy), F.lit("General"))
+    if taxonomy:
+        r = shared_table(r)  # rules once: texts go one way, what they come from another
+        found = best_subcategories(r.select(F.col("__both").alias("text"), F.col("__main").alias("category")).where("category is not null").distinct(), taxonomy)
+        found = sized(shared_table(found.select(F.col("text").alias("__text"), F.col("category").alias("__cat"), F.col("keyword").alias("__keyword"))))
+        r = r.join(found, (F.col("__both") == F.col("__text")) & (F.col("__main") == F.col("__cat")), "left")
+    keyword = F.coalesce(F.col("__keyword") if taxonomy else F.lit(None).cast("string"), F.lit("General"))
     sub = F.when(F.col("__locked").isNotNull(), keyword).otherwise(F.coalesce("__domain.sub", "__food", "__mapped_sub", keyword))
     r = r.withColumn("__sub", sub)
     sure = F.col("__locked").isNotNull() | F.col("__domain").isNotNull()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lotwise.functions import formats, text as X, vocabulary as V
 from lotwise.operators import audit, brands, business, category, clean as cleaner, products, rollups, search, search_index, status
 from lotwise.plans import reference_sql as R
-from lotwise.sources import exports, grid, tables
+from lotwise.sources import exports, grid, layout, tables
 from lotwise.sources.inventory import INVENTORY_SQL, inventory
 from lotwise.streaming import events as ev, incremental
 
@@ -63,6 +63,17 @@ def stage_table(name: str) -> Callable[[Query], Query]:
     return wrap
 
 
+def built(spark: SparkSession, sf: str, kind: str, build: Callable[[str], object]) -> str:
+    """A folder of tables that is built once for each application and state of the input files."""
+    folder = f"{tables.shared_folder(spark)}/{kind}/{hashlib.sha256(repr((spark.sparkContext.applicationId, _state(spark, sf))).encode()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/done")
+    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        build(folder)
+        fs.mkdirs(done)
+    return folder
+
+
 @stage_table("clean")
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return cleaner.clean(inventory(spark, sf))
@@ -357,16 +368,12 @@ def product_families(spark, sf):
 
 
 def loaded(spark: SparkSession, sf: str) -> str:
-    """The folder of a state that took the datasets one after the other, loaded once for each application and input."""
-    folder = f"{tables.shared_folder(spark)}/loads/{hashlib.sha256(repr((spark.sparkContext.applicationId, _state(spark, sf))).encode()).hexdigest()}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/done")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """The folder of a state that took the datasets one after the other."""
+    def load(folder: str) -> None:
         records = categorized(spark, sf)
         for number, dataset in enumerate(sorted(r[0] for r in records.select("dataset_id").distinct().collect())):
             incremental.load(folder, number, records.where(F.col("dataset_id") == dataset))
-        fs.mkdirs(path)
-    return folder
+    return built(spark, sf, "loads", load)
 
 
 @query(R.with_family("SELECT product_family_id, arg_min(normalized_product_name, _source_row) AS name, count(*) AS record_count, count(DISTINCT product_variant_id) AS variant_count, round(sum(qty), 2) AS total_qty, round(sum(source_value), 2) AS total_value, round(sum(total_weight), 3) AS total_weight FROM pv GROUP BY 1"))
@@ -515,12 +522,8 @@ def reconciliation_report(spark, sf):
 # --- search, questions, entities -----------------------------------------------------------------------------------
 
 def indexed(spark: SparkSession, sf: str) -> search_index.Index:
-    """The search index of the categorized records, built once for each application and state of the input files."""
-    folder = f"{tables.shared_folder(spark)}/search/{hashlib.sha256(repr((spark.sparkContext.applicationId, _state(spark, sf))).encode()).hexdigest()}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows/_SUCCESS")  # the last table
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return search_index.load(spark, folder)
-    return search_index.build(categorized(spark, sf), folder)
+    """The search index of the categorized records."""
+    return search_index.load(spark, built(spark, sf, "search", lambda folder: search_index.build(categorized(spark, sf), folder)))
 
 
 _texts = "unnest(list_distinct([" + ", ".join(f"lower(coalesce({c}, ''))" for c in search.SEARCHED) + "]))"
@@ -605,9 +608,28 @@ def dataset_counts(spark, sf):
     return categorized(spark, sf).groupBy("dataset_id").agg(F.count("*").alias("n"))
 
 
+def laid_out(spark: SparkSession, sf: str) -> str:
+    """The folder of the raw inventory by dataset, in source order."""
+    return built(spark, sf, "layout", lambda folder: layout.write(inventory(spark, sf), folder, ["_source_row", "name"], ["dataset_id"], ["item_id", "upc"]))
+
+
 @query(f"WITH inv AS ({INVENTORY_SQL}) SELECT _source_row, name FROM inv WHERE dataset_id = 'ds1' ORDER BY _source_row, name LIMIT 50 OFFSET 100")
 def record_page(spark, sf):
-    return tables.page(inventory(spark, sf).select("_source_row", "name", "dataset_id"), F.col("dataset_id") == "ds1", ["_source_row", "name"], 100, 50).select("_source_row", "name")
+    return layout.page(spark, laid_out(spark, sf), 100, 50, dataset_id="ds1").select("_source_row", "name")
+
+
+@query(f"WITH inv AS ({INVENTORY_SQL}), n AS (SELECT count(*) AS n FROM inv WHERE dataset_id = 'ds2'), r AS (SELECT _source_row, name, item_id, row_number() OVER (ORDER BY _source_row, name) AS k FROM inv WHERE dataset_id = 'ds2') SELECT _source_row, name, item_id FROM r, n WHERE k > n // 2 AND k <= n // 2 + 50")
+def deep_page(spark, sf):
+    """The fifty rows after the middle of a dataset."""
+    folder = laid_out(spark, sf)
+    return layout.page(spark, folder, layout.count(spark, folder, dataset_id="ds2") // 2, 50, dataset_id="ds2").select("_source_row", "name", "item_id")
+
+
+@query(f"WITH inv AS ({INVENTORY_SQL}) SELECT dataset_id, _source_row, name, item_id, upc FROM inv WHERE item_id = 'SKU17' OR upc = '888888888801'")
+def item_lookup(spark, sf):
+    """Records by item id or by barcode."""
+    found = [layout.lookup(spark, laid_out(spark, sf), **{c: v}) for c, v in (("item_id", "SKU17"), ("upc", "888888888801"))]
+    return found[0].unionByName(found[1]).select("dataset_id", "_source_row", "name", "item_id", "upc")
 
 
 @query(f"WITH inv AS ({INVENTORY_SQL}) SELECT dataset_id, count(*) AS n FROM inv WHERE dataset_id <> 'ds2' GROUP BY 1")

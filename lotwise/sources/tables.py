@@ -31,11 +31,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 def shared_table(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{own_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_tables(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def delete_tables(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application, once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(df: DataFrame, most: int = 200_000) -> DataFrame:
     """Hints a broadcast of a written, narrow table if it has few enough rows; else leaves a join that shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotwise.functions import formats, text as X, vocabulary as V
+from lotwise.functions import formats, text as X, units, vocabulary as V
 from lotwise.operators import audit, brands, business, category, clean as cleaner, products, rollups, search, search_index, status
 from lotwise.plans import reference_sql as R
 from lotwise.sources import exports, grid, layout, tables
@@ -167,6 +167,35 @@ def unit_values(spark, sf):
     return cleaned(spark, sf).select("_source_row", (F.floor(100 * rollups.unit_value()) / 100).alias("unit_value"), rollups.mass_label().alias("mass_label"))
 
 
+_tenths = lambda x, places: f"printf('%.{places}f', round({x}, {places}))"
+_whole = lambda x, places: f"CASE WHEN {x} % 1 = 0 THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE {_tenths(x, places)} END"
+_rupees = f"""CASE WHEN abs(v) >= 1e7 THEN '₹' || {_tenths('abs(v) / 1e7', 2)} || ' Cr' WHEN abs(v) >= 1e5 THEN '₹' || {_tenths('abs(v) / 1e5', 2)} || ' L' WHEN abs(v) >= 1e3 THEN '₹' || {_tenths('abs(v) / 1e3', 1)} || 'K'
+  WHEN abs(v) % 1 <> 0 THEN '₹' || {_tenths('abs(v)', 2)} ELSE '₹' || CAST(CAST(abs(v) AS BIGINT) AS VARCHAR) END"""
+
+
+#: Amounts cut to the digits that are shown, so that no text depends on how an engine rounds a tie.
+_cut = lambda c, steps, rest: "CASE " + " ".join(f"WHEN {c} >= {at} THEN floor({c} / {step}) * {step}" for at, step in steps) + f" ELSE floor({c} * {rest}) / {rest} END"
+_amounts = ", ".join((_cut("source_value", [("1e7", "1e5"), ("1e5", "1e3"), ("1e3", "1e2")], "1e2") + " AS v", _cut("total_weight", [("1e3", "1e1"), ("1e0", "0.01")], "1e3") + " AS w", _cut("total_volume_l", [("1e3", "1e1")], "1e2") + " AS l"))
+
+
+@query(R.with_clean(f", x AS (SELECT DISTINCT {_amounts} FROM cl) SELECT v, w, l, CASE WHEN v < 0 THEN '-' ELSE '' END || {_rupees} AS money, CASE WHEN w = 0 THEN '—' WHEN w >= 1000 THEN {_whole('w / 1000', 2)} || ' T' WHEN w >= 1 THEN {_whole('w', 2)} || ' KG' ELSE {_whole('w * 1000', 0)} || ' g' END AS mass, CASE WHEN l = 0 THEN '—' WHEN l >= 1000 THEN {_tenths('l / 1000', 2)} || ' kL' ELSE {_tenths('l', 2)} || ' L' END AS volume FROM x"))
+def amount_texts(spark, sf):
+    """Amounts as they are shown."""
+    x = cleaned(spark, sf).selectExpr(*_amounts.split(", ")).distinct()
+    return x.select("v", "w", "l", formats.currency("v").alias("money"), formats.mass("w").alias("mass"), formats.volume("l").alias("volume"))
+
+
+_unit_case = " ".join(f"WHEN regexp_matches(h, {R.q(r'\b' + (units.any_of(u) if u != 'ML' else 'ml') + r'\b|_' + s + r'|\(' + s + r'\)')}) THEN '{u}'" for u, s in (("KG", "kg"), ("G", "g"), ("L", "l"), ("ML", "ml")))
+
+
+@query(f"WITH inv AS ({INVENTORY_SQL}), d AS (SELECT DISTINCT 'Net Weight ' || variant_uom_text AS header FROM inv UNION SELECT DISTINCT 'total_' || lower(replace(variant_uom_text, ' ', '_')) FROM inv) SELECT header, CASE {_unit_case.replace('(h,', '(lower(header),')} END AS unit FROM d")
+def header_units(spark, sf):
+    """The units that headers name, which are made of the inventory's pack texts."""
+    t = inventory(spark, sf).select("variant_uom_text").distinct()
+    h = t.select(F.concat(F.lit("Net Weight "), "variant_uom_text").alias("header")).union(t.select(F.concat(F.lit("total_"), F.lower(F.replace("variant_uom_text", F.lit(" "), F.lit("_"))))))
+    return h.distinct().select("header", units.header_unit("header").alias("unit"))
+
+
 # --- status --------------------------------------------------------------------------------------------------------
 
 
@@ -581,6 +610,16 @@ def entity_resolution(spark, sf):
     return search.resolve(r.select(F.concat_ws(" ", "normalized_brand", "subcategory").alias("term")).distinct(), known)
 
 
+@query(R.with_category(f""", w AS (SELECT DISTINCT normalized_warehouse AS name, {R._norm('normalized_warehouse')} AS norm FROM cat WHERE normalized_warehouse <> ''), s AS (SELECT DISTINCT unnest([substr(normalized_warehouse, 1, 4), substr(normalized_warehouse, 3, 6), normalized_warehouse || ' yard 2', normalized_warehouse]) AS term FROM cat),
+t AS (SELECT term, {R._norm('term')} AS t FROM s), h AS (SELECT term, name, t <> norm AS part FROM t JOIN w ON t = norm OR (least(length(t), length(norm)) >= 3 AND (contains(t, norm) OR contains(norm, t))) WHERE t <> '' AND norm <> '') SELECT term, arg_min(name, row(part, name)) AS name FROM h GROUP BY term"""))
+def warehouse_resolution(spark, sf):
+    """Parts and longer forms of warehouse names, with the warehouse that each names."""
+    c = F.col("normalized_warehouse")
+    r = categorized(spark, sf).select("normalized_warehouse").distinct()
+    terms = r.select(F.explode(F.array(F.substring(c, 1, 4), F.substring(c, 3, 6), F.concat(c, F.lit(" yard 2")), c)).alias("term")).distinct()
+    return search.resolve_warehouses(terms, r.select(c.alias("name")))
+
+
 @query(R.with_category(R.ENTITIES + """
 , h AS (SELECT w.term, w.t, e.name AS brand, e.norm FROM tw w JOIN en e ON e.kind = 'brand' AND string_split(e.norm, ' ')[1] = w.w WHERE contains(' ' || w.t || ' ', ' ' || e.norm || ' ')),
 m AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(norm) DESC, brand DESC) = 1)
@@ -696,6 +735,13 @@ def excluded_rows(spark, sf):
     return out.select("dataset_id", "_sheet_name", "_source_row", "_exclude_reason", "name", "qty", "value")
 
 
+@query(f"""{_data} SELECT why AS "Exclusion Reason", _sheet_name AS "Source Sheet", CAST(row_idx + 1 AS INT) AS "Source Row", '' AS "Raw UPC / Code", c0 AS "Raw Name / Description", CAST(c2 AS DOUBLE) AS "Quantity", CAST(c4 AS DOUBLE) AS "Source Value", '' AS "Warehouse" FROM d WHERE why IS NOT NULL""")
+def excluded_report(spark, sf):
+    """The export of rows that were left out."""
+    _, out = grid.ingest(sheet_grid(spark, sf))
+    return exports.excluded_export(out)
+
+
 @query(f"WITH g AS ({GRID_SQL}), s AS (SELECT DISTINCT dataset_id, _sheet_name FROM g WHERE _sheet_name <> 'Summary') SELECT dataset_id, _sheet_name, c AS canonical, false AS required FROM s, (SELECT unnest([{', '.join(R.q(c) for c in grid.ALIASES if c not in ('name', 'item_id', 'qty', 'value', 'inventory_status'))}]) AS c)")
 def missing_columns(spark, sf):
     return grid.missing_columns(grid.detect_headers(grid.sheets_of_records(sheet_grid(spark, sf))))

@@ -93,15 +93,32 @@ def without_dataset(df: DataFrame, deleted: DataFrame) -> DataFrame:
 
 def save_dataset(spark: SparkSession, folder: str, dataset_id: str, name: str, uploaded_at: str, children: dict[str, DataFrame]) -> None:
     """Replaces a dataset: its child tables, and last its own row, so that a listed dataset is whole. Rows of other
-    datasets in the given tables are left out; children that are not given become empty."""
-    delete_dataset(spark, folder, dataset_id)
+    datasets in the given tables are left out; children that are not given become empty.
+
+    Everything is written aside first and then moved into place, so a job that fails leaves the dataset as it was.
+    """
+    if unknown := set(children) - set(CHILDREN):
+        raise ValueError(f"no child tables {sorted(unknown)}")
+    aside = f"{folder}/_new/{uuid.uuid4().hex}"
     for child, df in children.items():
-        if child not in CHILDREN:
-            raise ValueError(f"no child table {child}")
         own = df.where(F.col("dataset_id") == dataset_id) if "dataset_id" in df.columns else df.withColumn("dataset_id", F.lit(dataset_id))
-        save(own, folder, child)
+        save(own, aside, child)
     row = spark.createDataFrame([(dataset_id, name)], "dataset_id string, name string").withColumn("uploaded_at", F.lit(uploaded_at).cast("timestamp"))
-    save(row, folder, "datasets")
+    save(row, aside, "datasets")
+    delete_dataset(spark, folder, dataset_id)
+    for table in [*children, "datasets"]:
+        old, new = (_partition(spark, at, table, dataset_id) for at in (folder, aside))
+        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(new):  # a child without rows has none
+            fs.mkdirs(old.getParent())
+            fs.rename(new, old)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+
+
+def _partition(spark: SparkSession, folder: str, table: str, dataset_id: str):
+    """The path of a dataset's partition, spelt as Spark spells it."""
+    spelt = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset_id)
+    return spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}", f"dataset_id={spelt}")
 
 
 def datasets(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,9 +129,8 @@ def datasets(spark: SparkSession, folder: str) -> DataFrame:
 def delete_dataset(spark: SparkSession, folder: str, dataset_id: str, names: list[str] | None = None) -> None:
     """Drops one dataset's partition from the list of datasets and from every child table, through Spark's own file
     system."""
-    path_of = spark._jvm.org.apache.hadoop.fs.Path
     for name in names or ["datasets", *CHILDREN]:
-        path = path_of(f"{folder}/{name}/dataset_id={dataset_id}")
+        path = _partition(spark, folder, name, dataset_id)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(path):
             fs.delete(path, True)

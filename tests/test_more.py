@@ -80,6 +80,24 @@ def test_datasets(spark, tmp_path):
     assert [r.dataset_id for r in tables.datasets(spark, folder).collect()] == ["b"] and tables.load(spark, folder, "records").count() == 1 and len(tables.CHILDREN) == 10
 
 
+def test_a_failed_save_leaves_the_dataset(spark, tmp_path):
+    folder, name = str(tmp_path), "a b:c/d=é"
+    rows = spark.createDataFrame([(name, 1), ("other", 2)], "dataset_id string, x int")
+    tables.save_dataset(spark, folder, name, "first", "2024-01-01 00:00:00", {"records": rows, "issues": rows})
+    broken = rows.withColumn("x", F.when(F.raise_error(F.lit("no")).isNull(), F.col("x")))
+    try:
+        tables.save_dataset(spark, folder, name, "second", "2024-02-01 00:00:00", {"records": rows, "brands": broken})
+        raise AssertionError("saved")
+    except Exception as e:
+        assert "no" in str(e)
+    assert [r.name for r in tables.datasets(spark, folder).collect()] == ["first"] and tables.load(spark, folder, "records", name).count() == 1
+    tables.save_dataset(spark, folder, name, "third", "2024-03-01 00:00:00", {"records": rows.withColumn("x", F.col("x") + 6)})
+    assert [r.name for r in tables.datasets(spark, folder).collect()] == ["third"] and [r.x for r in tables.load(spark, folder, "records", name).collect()] == [7]
+    assert not [p for p in (tmp_path / "issues").iterdir() if p.name.startswith("dataset_id")]
+    tables.delete_dataset(spark, folder, name)
+    assert not list((tmp_path / "datasets").glob("dataset_id*"))
+
+
 def test_tabs_and_formats(spark):
     names = ["Summary", "x" * 40, "x" * 40 + "y", "a/b", "a?b"]
     df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "_sheet_name string, _source_row int")

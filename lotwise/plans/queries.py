@@ -824,3 +824,23 @@ def event_scrubbing(spark, sf):
     agent = F.when(F.col("event_id") % 2 == 0, "X (iPhone)").otherwise("X (Linux)")
     problem = F.when(F.col("event_type") == "error", "could not parse row").otherwise("")
     return events(spark, sf).select("event_id", ev.url_path(url).alias("path"), ev.url_host(url).alias("host"), ev.hash_keys(F.lit("#/v?a=1&b=2")).alias("hash"), ev.device(agent).alias("device"), ev.error_category(problem).alias("problem"))
+
+
+#: Varied inputs made of the events: expressions that Spark and other engines read alike.
+_agents = ["Mozilla/5.0 (iPhone)", "Android Tablet", "Tablet PC", "X11; Linux"]
+_problems = ["", "Required column not found", "This is not a valid file", "the file is EMPTY", "failed reading Excel", "disk on fire"]
+_dealt = lambda texts, by: "CASE " + " ".join(f"WHEN {by} % {len(texts)} = {i} THEN {R.q(t)}" for i, t in enumerate(texts)) + " END"
+_inputs = {
+    "url": "CASE WHEN event_id % 11 = 0 THEN 'no address' WHEN event_id % 11 = 1 THEN '' ELSE 'https://' || event_type || '.example/u' || CAST(user_id AS STRING) || CASE WHEN event_id % 3 = 0 THEN '/a b' WHEN event_id % 3 = 1 THEN '/items/' ELSE '' END || '?key=' || CAST(event_id AS STRING) || '#top' END",
+    "hash": "CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN '#/plain' ELSE '#/view' || CAST(user_id % 7 AS STRING) || '?k' || CAST(event_id % 3 AS STRING) || '=' || event_type || '&page=2' END",
+    "agent": _dealt(_agents, "event_id"), "problem": _dealt(_problems, "event_id"),
+}
+_host = r"regexp_extract(url, '^https://([^/?#]+)', 1)"
+
+
+@query(f"""WITH e AS (SELECT event_id, {', '.join(f'{x} AS {c}' for c, x in _inputs.items())} FROM events) SELECT event_id, CASE WHEN {_host} = '' OR contains(url, 'a b') THEN 'unknown' ELSE regexp_extract(url, '^[^?#]+') END AS path, CASE WHEN {_host} = '' OR contains(url, 'a b') THEN 'unknown' ELSE {_host} END AS host,
+  CASE WHEN hash = '' THEN '#/' ELSE regexp_replace(hash, '=[^&]*', '', 'g') END AS hash, {_dealt(['mobile', 'mobile', 'tablet', 'desktop'], 'event_id')} AS device, {_dealt(['UNKNOWN_ERROR', 'MISSING_REQUIRED_COLUMNS', 'INVALID_FORMAT', 'INVALID_FILE', 'PARSE_ERROR', 'PROCESSING_ERROR'], 'event_id')} AS problem FROM e""")
+def event_inputs(spark, sf):
+    """Addresses, location hashes, agents and error texts of many kinds, scrubbed."""
+    e = events(spark, sf).selectExpr("event_id", *(f"{x} AS {c}" for c, x in _inputs.items()))
+    return e.select("event_id", ev.url_path("url").alias("path"), ev.url_host("url").alias("host"), ev.hash_keys("hash").alias("hash"), ev.device("agent").alias("device"), ev.error_category("problem").alias("problem"))

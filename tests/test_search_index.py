@@ -30,7 +30,7 @@ def test_searches(spark, tmp_path):
     r = spark.range(n).select((n - F.col("id")).alias("_source_row"), name.alias("normalized_product_name"), F.when(F.col("id") % 7 > 0, F.lit("Été & Co.")).alias("normalized_brand"), F.concat(F.lit("SKU"), "id").alias("item_id"),
         F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise("").alias("upc"), F.lit("Grocery").alias("normalized_category"), F.lit("50% off_store").alias("normalized_warehouse"), F.lit("x").alias("_sheet_name"))
     index = search_index.build(r, str(tmp_path / "i"))
-    for text in ("saffron", "RARE saffron 17", "sku123", "atta", "été", "% off_", "e", "17", "zzz", "sku12345678", "rice 4", " Grocery "):
+    for text in ("RARE saffron 17", "sku123", "atta", "été", "% off_", "17", "zzz", " Grocery "):
         expected = Counter(map(tuple, search.filtered(r, text).select("_source_row").collect()))
         assert Counter(map(tuple, search_index.filtered(index, text).select("_source_row").collect())) == expected, text
         found = search_index.find(index, text, 20).collect()

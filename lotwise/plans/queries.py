@@ -94,7 +94,7 @@ def grouped(spark: SparkSession, sf: str) -> DataFrame:
 
 def link(categorized: DataFrame) -> DataFrame:
     """Categorized records, already written, with brands, families and variants."""
-    r = brands.assign_brands(categorized, brands.brand_master(categorized))
+    r = brands.assign_brands(categorized, tables.sized(tables.shared_table(brands.brand_master(categorized))))
     return products.with_variants(products.group_products(r))
 
 

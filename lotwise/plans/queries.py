@@ -747,6 +747,34 @@ def missing_columns(spark, sf):
     return grid.missing_columns(grid.detect_headers(grid.sheets_of_records(sheet_grid(spark, sf))))
 
 
+_aliases = ", ".join(f"({R.q(c)}, {R.q(a)})" for c, names in grid.ALIASES.items() for a in names)
+
+
+_header = R.spaced(rf"regexp_replace(regexp_replace(lower({R.trim('header')}), '[-_.]+', ' ', 'g'), '[^a-z0-9\s]+', '', 'g')")
+
+
+@query(f"""WITH inv AS ({INVENTORY_SQL}), h AS (SELECT DISTINCT header, {_header} AS h FROM (SELECT unnest([brand, entity_name, l0, item_type, inventory_status]) AS header FROM inv)),
+n AS (SELECT canonical, header, least(length(a), length(h)) / greatest(length(a), length(h)) AS ratio FROM h JOIN (VALUES {_aliases}) v(canonical, a) ON h <> '' AND (contains(h, a) OR contains(a, h)))
+SELECT canonical, (max({{'r': ratio, 'h': header}})).h AS header FROM n WHERE ratio > 0.4 AND canonical NOT IN ('name', 'item_id', 'qty', 'value', 'inventory_status') GROUP BY 1""")
+def header_suggestions(spark, sf):
+    """For canonical columns that the sheets lack, which of the inventory's texts would do best as their header, as in a sheet
+    whose first row is taken for one."""
+    texts = inventory(spark, sf).select(F.explode(F.array("brand", "entity_name", "l0", "item_type", "inventory_status")).alias("header"))
+    return grid.suggest_headers(texts.distinct(), grid.missing_columns(grid.detect_headers(grid.sheets_of_records(sheet_grid(spark, sf)))))
+
+
+@query(f"WITH inv AS ({INVENTORY_SQL}) SELECT dataset_id, _sheet_name, _source_row, name, {R.strip_price('variant_uom_text')} AS pack, variant_mrp AS rate FROM inv")
+def stripped_packs(spark, sf):
+    """The inventory as sheets, with prices taken off the cells below the header that names a pack, and off no others."""
+    inv = inventory(spark, sf)
+    at = ["dataset_id", "_sheet_name"]
+    sheets = tables.shared_table(inv.select(*at).distinct().withColumn("header_row", F.lit(0)))
+    top = sheets.select(*at, F.lit(0).cast("long").alias("row_idx"), F.array(F.lit("Product Name"), F.lit("Pack-Size"), F.lit("Unit Rate")).alias("cells"))
+    rows = inv.select(*at, F.col("_source_row").cast("long").alias("row_idx"), F.array("name", "variant_uom_text", "variant_mrp").alias("cells"))
+    out = grid.without_prices(top.unionByName(rows), sheets).where("row_idx > 0")
+    return out.select(*at, F.col("row_idx").alias("_source_row"), *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("name", "pack", "rate"))))
+
+
 @query(f"WITH inv AS ({INVENTORY_SQL}), c AS (SELECT dataset_id, TRY_CAST(replace(weight, ',', '') AS DOUBLE) AS bare, {R.amount('variant_uom_text', 'KG', 'G')} AS named FROM inv), n AS (SELECT dataset_id, count(*) FILTER (bare > 0 AND named IS NOT NULL) AS checked, count(*) FILTER (bare > 0 AND abs(bare - named) < 1e-3) AS agreed FROM c GROUP BY 1) SELECT *, CASE WHEN checked >= 5 AND agreed >= 0.8 * checked THEN 'KG' END AS weight_unit FROM n")
 def weight_unit(spark, sf):
     return grid.infer_weight_unit(inventory(spark, sf))

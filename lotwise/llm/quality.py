@@ -13,10 +13,12 @@ from lotwise.llm.common import fresh, materialize, number_array, sized, spaced,
 BUCKETS = 1 << 14
 #: The trusted target is learnt from about so many labelled documents at most, chosen by a hash of their ids.
 MOST_TRUSTED = 400_000
-#: Of the trusted documents one in so many is held out of the multinomial, and about MOST_HELD at most are scored.
-HELD_OUT, MOST_HELD = 4, 20_000
+#: Of the trusted documents one in so many is held out of the multinomial; all of these give the cut.
+HELD_OUT = 4
 #: The cut is this quantile of the held-out documents' mean log-likelihood ratios.
 QUANTILE = 0.02
+#: A pass for a quantile counts so many parts of a range.
+PARTS = 1 << 12
 #: Scores count from the cut, so a document is kept from 0 up.
 THRESHOLD = 0.0
 WINDOW = 8
@@ -73,26 +75,50 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The exact quantile of a materialised column ``x`` of finite numbers, linear between neighbours; None without any.
+
+    A pass counts the values in equal parts of the range that holds the wanted one and goes on within its part, so that no
+    task and no group holds the values themselves.
+    """
+    x = F.col("x")
+    n, low, high = values.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return None
+    place, below = share * (n - 1), 0
+    nth = math.floor(place)
+    while low < high:
+        part = F.least(F.floor((x - low) / (high - low) * PARTS), F.lit(PARTS - 1))
+        for r in values.where(x.between(low, high)).groupBy(part.alias("part")).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).orderBy("part").collect():
+            if below + r["n"] > nth:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    if place == nth:
+        return low
+    upto, after = values.agg(F.count_if(x <= low), F.min(F.when(x > low, x))).first()
+    return (nth + 1 - place) * low + (place - nth) * (low if upto > nth + 1 else after)
+
+
 def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[float], float]:
     """The ratios of the buckets, and the cut: a low quantile of what trusted documents score that were not learnt from.
 
     Scores shrink as the corpus grows and the trusted part with it; the cut follows them, so that at any size about
-    the same share of good documents passes. Trusted documents that fail a base rule are left out. Without held-out
-    documents the trusted ones themselves are scored; without any the cut is 0.
+    the same share of good documents passes. Every held-out document is scored but those that fail a base rule. Without
+    held-out documents the trusted ones themselves are scored; without any the cut is 0.
     """
     trusted = materialize(trusted_ids(labels, id_col=id_col))
     draw = F.pmod(F.xxhash64(F.lit("held"), F.col(id_col)), F.lit(1 << 30))
     held = materialize(trusted.where(draw < (1 << 30) // HELD_OUT))
-    n = held.count()
     ratios = log_ratios(docs, sized(materialize(trusted.where(draw >= (1 << 30) // HELD_OUT))), id_col, text_col)
     if not any(ratios):
         return ratios, 0.0
-    part = int(min(1.0, MOST_HELD / max(n, 1)) * ((1 << 30) // HELD_OUT))
-    asked = materialize(held.where(draw < part)) if n else trusted
+    asked = trusted if held.isEmpty() else held
     own = fresh(docs, "id")
     scored = docs.join(sized(asked.select(F.col(id_col).alias(own))), F.col(id_col) == F.col(own), "left_semi")
-    scored = scored.select(judgement(F.col(text_col), ratios).alias("j")).where("not j.base_failed")
-    return ratios, scored.agg(F.percentile(F.col("j.score"), F.lit(QUANTILE)).alias("cut")).first()["cut"] or 0.0
+    # written before it is filtered: a filter would be pushed below the join and judge every document
+    scored = materialize(scored.select(judgement(F.col(text_col), ratios).alias("j")))
+    return ratios, quantile(scored.where("not j.base_failed").select(F.col("j.score").alias("x")), QUANTILE) or 0.0
 
 
 def judgement(text: Column, ratios: list[float], cut: float = 0.0) -> Column:

@@ -5,14 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lotwise.llm.common import fresh, materialize, number_array, sized, spaced, words
 
 #: Hash buckets of the multinomials; their counts are all that reaches the driver.
 BUCKETS = 1 << 14
-#: The trusted target is learnt from about so many labelled documents at most, chosen by a hash of their ids.
-MOST_TRUSTED = 400_000
 #: Of the trusted documents one in so many is held out of the multinomial; all of these give the cut.
 HELD_OUT = 4
 #: The cut is this quantile of the held-out documents' mean log-likelihood ratios.
@@ -43,10 +41,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     ``trusted`` holds ids, each once. Both multinomials are smoothed towards the raw corpus, so that a bucket that
     is rare in the trusted part says little.
     """
-    ids = trusted.select(F.col(id_col).alias("__id"), F.lit(1).alias("__good"))
-    rows = docs.select(F.col(id_col).alias("__id"), _hashes(words(F.col(text_col))).alias("h")).join(ids, "__id", "left")
-    grams = rows.select("__good", F.explode(F.concat("h", _pairs(F.col("h"), 1))).alias("h")).select("__good", _bucket(F.col("h")).alias("b"))
-    counts = {r["b"]: (r["n"], r["g"]) for r in grams.groupBy("b").agg(F.count("*").alias("n"), F.count("__good").alias("g")).collect()}
+    rows = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), trusted.select(F.col(id_col).alias("id")), "id", "good").select("good", _hashes(words(F.col("text"))).alias("h"))
+    grams = rows.select("good", F.explode(F.concat("h", _pairs(F.col("h"), 1))).alias("h")).select("good", _bucket(F.col("h")).alias("b"))
+    counts = {r["b"]: (r["n"], r["g"]) for r in grams.groupBy("b").agg(F.count("*").alias("n"), F.count_if("good").alias("g")).collect()}
     raw, good = sum(n for n, _ in counts.values()), sum(g for _, g in counts.values())
     if not good:
         return [0.0] * BUCKETS
@@ -59,12 +56,26 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED, id_col: str = "doc_id") -> DataFrame:
-    """Ids of documents labelled good and not toxic, each once: all, or about ``most`` chosen by a hash of the id."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    n = good.count()
-    part = int(min(1.0, most / max(n, 1)) * (1 << 30))
-    return good.where(F.pmod(F.xxhash64(F.lit("trusted"), F.col(id_col)), F.lit(1 << 30)) < part)
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Ids of all documents labelled good and not toxic, each once."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(id_col).where(F.col(id_col).isNotNull()).distinct()
+
+
+def marked(docs: DataFrame, ids: DataFrame, id_col: str, mark: str) -> DataFrame:
+    """The documents with a column that says whether a row's id is among ``ids``, a materialised table with each once.
+
+    Of ids that are whole numbers 64 neighbours share a row of bits, so that texts are not shuffled for a set of up to 32
+    million dense ids; ids of another type, or of more such rows, meet the texts in a shuffle join with equal results."""
+    key, value = fresh(docs, "key"), fresh(docs, "value")
+    if all(isinstance(df.schema[id_col].dataType, T.IntegralType) for df in (docs, ids)):
+        number = F.col(id_col).cast("long")
+        word, place = F.shiftright(number, 6), number.bitwiseAND(F.lit(63)).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+        found = materialize(ids.groupBy(word.alias(key)).agg(F.bit_or(bit).alias(value)))
+        within = F.getbit(value, place) == 1
+    else:
+        word, found, within = F.col(id_col), ids.select(F.col(id_col).alias(key), F.lit(1).alias(value)), F.col(value) == 1
+    return docs.join(sized(found), word == F.col(key), "left").withColumn(mark, F.coalesce(within, F.lit(False))).drop(key, value)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,14 +121,13 @@ def learnt(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = materialize(trusted_ids(labels, id_col=id_col))
     draw = F.pmod(F.xxhash64(F.lit("held"), F.col(id_col)), F.lit(1 << 30))
     held = materialize(trusted.where(draw < (1 << 30) // HELD_OUT))
-    ratios = log_ratios(docs, sized(materialize(trusted.where(draw >= (1 << 30) // HELD_OUT))), id_col, text_col)
+    ratios = log_ratios(docs, materialize(trusted.where(draw >= (1 << 30) // HELD_OUT)), id_col, text_col)
     if not any(ratios):
         return ratios, 0.0
     asked = trusted if held.isEmpty() else held
-    own = fresh(docs, "id")
-    scored = docs.join(sized(asked.select(F.col(id_col).alias(own))), F.col(id_col) == F.col(own), "left_semi")
+    scored = marked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), asked.select(F.col(id_col).alias("id")), "id", "asked").where("asked")
     # written before it is filtered: a filter would be pushed below the join and judge every document
-    scored = materialize(scored.select(judgement(F.col(text_col), ratios).alias("j")))
+    scored = materialize(scored.select(judgement(F.col("text"), ratios).alias("j")))
     return ratios, quantile(scored.where("not j.base_failed").select(F.col("j.score").alias("x")), QUANTILE) or 0.0
 
 
@@ -165,7 +175,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Judges every document by base rules and by the hashed n-gram log-likelihood ratio of trusted to raw text.
 
     Two multinomials over hashed words and word pairs are estimated: from the documents labelled good and not toxic
-    (the trusted target; bounded, see MOST_TRUSTED), and from all documents. A document's score is the sum of log
+    (the trusted target: all but those held out for the cut), and from all documents. A document's score is the sum of log
     ratios of its n-grams over their number, less the cut (see learnt); it is kept if no base rule fails and the score
     reaches THRESHOLD.
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from lotwise.llm import quality
 
@@ -23,3 +23,23 @@ def test_cut_counts_every_held_out_document(spark):
 def test_quantile_is_exact(spark, values):
     got = quality.quantile(spark.createDataFrame([(float(v),) for v in values], "x double"), quality.QUANTILE)
     assert got == (pytest.approx(np.quantile(values, quality.QUANTILE), rel=1e-12) if values else None)
+
+
+def test_every_trusted_document_counts(spark):
+    """About 400,000 of them were chosen by a hash of the id."""
+    labels = spark.range(500_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    assert quality.trusted_ids(labels).count() == 500_000
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_marks_are_exact(spark, kind, shuffled, monkeypatch):
+    """Ids that share a row of bits, negative and far ones, null; the shuffle join gives the same."""
+    if shuffled:
+        monkeypatch.setattr(quality, "sized", lambda df: df.hint("merge"))
+    far = 1 << (62 if kind == "long" else 30)
+    asked = {*range(-70, 70, 3), 4096, far, -far, -2 * far}
+    rows = [*range(-200, 200), 4095, 4096, 4096, 4097, far, far + 1, -far, -far - 1, -2 * far, 2 * far - 1, None]
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long").select(F.col("id").cast(kind).alias("id"))
+    got = quality.marked(frame(rows), frame(sorted(asked)), "id", "mark").collect()
+    assert sorted(map(str, got)) == sorted(map(str, [Row(id=str(i) if kind == "string" and i is not None else i, mark=i in asked) for i in rows]))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lotwise.llm.common import fresh, materialize, sized
+from lotwise.llm.common import fresh, materialize, sized, small_batches
 from lotwise.llm.graph import components
 from lotwise.llm.simhash import BITS, linked
 
@@ -235,6 +235,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts without words are copies of each other. Rows without an id stay. Of rows that share id and shingles the one
     with the smallest hash stays; rows that share an id alone are judged each by its own text.
     """
+    with small_batches(docs.sparkSession):  # rows carry texts and shingle sets; all of this Python work ends in here
+        return _without_copies(docs, id_col, text_col)
+
+
+def _without_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = materialize(shingle_sets(docs, id_col, text_col))
     roots = near_copies(sets)
     known = sets.where("id is not null").select("id", "node").join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lotwise.functions import text as X
+from lotwise.sources.tables import shared_table, sized
 
 #: Penalty of a severity, weight of a dimension.
 AMPLIFIERS = {"info": 0.1, "warning": 1.0, "critical": 5.0}
@@ -85,21 +89,44 @@ def duplicates(records: DataFrame) -> DataFrame:
     return records.where(X.trimmed("item_id") != "").groupBy(X.trimmed("item_id").alias("item_id")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+#: The columns that the checks read.
+READ = ["item_id", "upc", "normalized_brand", "normalized_category", "total_weight", "total_volume_l", "qty", "variant_mrp", "source_value", "subcategory_confidence", "is_status_conflict", "status_confidence"]
+
+
+def _with_duplicate(records: DataFrame) -> DataFrame:
+    """Records with __duplicate. Mostly either the repeated item ids or the others are few: these are then broadcast."""
+    items = shared_table(records.where(X.trimmed("item_id") != "").groupBy(X.trimmed("item_id").alias("__item")).agg((F.count("*") > 1).alias("__repeated")))
+    n = items.agg(F.count_if("__repeated").alias("n"), F.count("*").alias("all")).first()
+    repeated = 2 * n["n"] <= n["all"]
+    listed = F.col("__repeated") if repeated else ~F.col("__repeated")
+    r = records.withColumn("__k", F.when(X.trimmed("item_id") != "", X.trimmed("item_id"))).join(sized(items.where(listed).select("__item")), F.col("__k") == F.col("__item"), "left")
+    found = F.col("__item").isNotNull()
+    return r.withColumn("__duplicate", found if repeated else F.col("__k").isNotNull() & ~found).drop("__k", "__item")
+
+
 def flagged(records: DataFrame, fixed: bool = False) -> DataFrame:
     """Records with the array ``failed`` of (check, dim, severity). Empty item ids are never joined."""
-    dup = duplicates(records).select(F.col("item_id").alias("__item"))
-    r = records.withColumn("__k", F.when(X.trimmed("item_id") != "", X.trimmed("item_id"))).join(dup, F.col("__k") == F.col("__item"), "left").withColumn("__duplicate", F.col("__item").isNotNull())
+    r = _with_duplicate(records)
     made = [F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("check"), F.lit(d).alias("dim"), F.lit(s).alias("severity"))) for n, d, s, c in checks(fixed)]
-    return r.withColumn("failed", F.array_compact(F.array(*made))).drop("__k", "__item", "__duplicate")
+    return r.withColumn("failed", F.array_compact(F.array(*made))).drop("__duplicate")
+
+
+def _counted(records: DataFrame, fixed: bool = False) -> DataFrame:
+    """One row: total, a count for each check, and affected, the records with any. A record is a duplicate if its item id has
+    more than one, which follows from sums by item id: no record is joined."""
+    own = [(n, F.coalesce(c, F.lit(False))) for n, _, _, c in checks(fixed) if n != "duplicate_item_id"]
+    item = F.when(X.trimmed("item_id") != "", X.trimmed("item_id"))
+    by_item = records.groupBy(item.alias("__item")).agg(F.count("*").alias("__n"), F.count_if(reduce(or_, (c for _, c in own))).alias("__any"))
+    repeated, n = F.col("__item").isNotNull() & (F.col("__n") > 1), F.col("__n")
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    of_items = by_item.agg(whole(F.when(repeated, n)).alias("duplicate_item_id"), whole(F.when(repeated, n).otherwise(F.col("__any"))).alias("affected"))
+    return records.agg(F.count("*").alias("total"), *(F.count_if(c).alias(name) for name, c in own)).crossJoin(F.broadcast(of_items))  # one row each
 
 
 def audit(records: DataFrame, fixed: bool = False) -> DataFrame:
     """All checks with their counts, of records in all; checks that find nothing count 0."""
-    f = flagged(records, fixed).select("failed")
-    total = f.agg(F.count("*").alias("total"))
-    found = f.select(F.explode("failed").alias("x")).groupBy("x.check").agg(F.count("*").alias("n"))
-    spec = records.sparkSession.createDataFrame([(n, d, s) for n, d, s, _ in checks(fixed)], "check string, dim string, severity string")
-    return spec.join(found, "check", "left").crossJoin(F.broadcast(total)).select("check", "dim", "severity", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "total")  # one row of totals
+    made = (F.struct(F.lit(n).alias("check"), F.lit(d).alias("dim"), F.lit(s).alias("severity"), F.col(n).alias("n")) for n, d, s, _ in checks(fixed))
+    return _counted(records, fixed).select(F.explode(F.array(*made)).alias("x"), "total").select("x.*", "total")
 
 
 def scores(audited: DataFrame) -> DataFrame:
@@ -113,21 +140,25 @@ def scores(audited: DataFrame) -> DataFrame:
 
 def severities(records: DataFrame) -> DataFrame:
     """Failed checks by severity, in all, and records with any."""
-    f = flagged(records).select("failed")
-    n = lambda s: F.sum(F.size(F.filter("failed", lambda x: x["severity"] == s))).cast("long")
-    return f.agg(n("critical").alias("critical"), n("warning").alias("warning"), n("info").alias("info"), F.sum(F.size("failed")).cast("long").alias("instances"), F.count_if(F.size("failed") > 0).alias("affected"))
+    own = {s: reduce(add, (F.col(n) for n, _, severity, _ in checks() if severity == s)) for s in ("critical", "warning", "info")}
+    return _counted(records).select(*(c.alias(s) for s, c in own.items()), reduce(add, own.values()).alias("instances"), "affected")
 
 
 def issue_records(records: DataFrame, severity: str | None = None, check: str | None = None, search: str = "") -> DataFrame:
     """Records with failed checks, worst first, then in source order: worst severity, sorted list of checks; optionally
     filtered."""
-    rank = lambda s: F.when(s == "critical", 3).when(s == "warning", 2).otherwise(1)
-    f = flagged(records).where(F.size("failed") > 0)
-    f = f.withColumn("severity_rank", F.array_max(F.transform("failed", lambda x: rank(x["severity"])))).withColumn("labels", F.array_join(F.array_sort(F.transform("failed", lambda x: x["check"])), ","))
+    known = list(enumerate(checks()))
+    any_of = lambda own: F.col("__failed").bitwiseAND(sum(1 << i for i, (n, _, s, _) in known if own(n, s))) != 0
+    f = _with_duplicate(records)
+    f = f.withColumn("__failed", reduce(lambda a, b: a.bitwiseOR(b), (F.when(c, F.lit(1 << i)).otherwise(0) for i, (*_, c) in known))).drop("__duplicate").where("__failed <> 0")
+    f = f.withColumn("severity_rank", F.when(any_of(lambda n, s: s == "critical"), 3).when(any_of(lambda n, s: s == "warning"), 2).otherwise(1))
     if severity:
-        f = f.where(F.exists("failed", lambda x: x["severity"] == severity))
+        f = f.where(any_of(lambda n, s: s == severity))
     if check:
-        f = f.where(F.exists("failed", lambda x: x["check"] == check))
+        f = f.where(any_of(lambda n, s: n == check))
     if search:
         f = f.where(F.lower("normalized_product_name").contains(search.lower()) | F.lower("item_id").contains(search.lower()))
-    return f.orderBy(F.col("severity_rank").desc(), "dataset_id", "_sheet_name", "_source_row")
+    f = f.orderBy(F.col("severity_rank").desc(), "dataset_id", "_sheet_name", "_source_row")  # a number stands for what failed
+    hit = lambda i: F.col("__failed").bitwiseAND(1 << i) != 0
+    made = F.array_compact(F.array(*(F.when(hit(i), F.struct(F.lit(n).alias("check"), F.lit(d).alias("dim"), F.lit(s).alias("severity"))) for i, (n, d, s, _) in known)))
+    return f.withColumns({"failed": made, "labels": F.concat_ws(",", *(F.when(hit(i), F.lit(n)) for i, (n, *_) in sorted(known, key=lambda x: x[1][0])))}).drop("__failed")

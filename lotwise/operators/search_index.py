@@ -27,7 +27,7 @@ PAGE_ROWS = 1_024
 @dataclass
 class Index:
     """Tables of an index. records: as given, with _row, ascending in source order; values: vid, text; grams: gram, values
-    (sorted lists of vid); rows: vid, block, rows (sorted lists of _row)."""
+    (sorted lists of vid); rows: vid, block, rows (sorted lists of places in the block)."""
 
     records: DataFrame
     values: DataFrame
@@ -56,7 +56,8 @@ def build(records: DataFrame, folder: str, columns: Sequence[str] = tuple(SEARCH
     _write(records.repartitionByRange(order).sortWithinPartitions(order).withColumn("_row", F.monotonically_increasing_id()), f"{folder}/records")
     texts = F.explode(F.array_distinct(F.array(*(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns))))
     held = spark.read.parquet(f"{folder}/records").select("_row", texts.alias("text")).where("text <> ''")
-    lists = held.groupBy("text", F.shiftright("_row", BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_list("_row")).alias("rows"))
+    place = F.col("_row").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
+    lists = held.groupBy("text", F.shiftright("_row", BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_list(place)).alias("rows"))
     lists.write.mode("overwrite").parquet(f"{folder}/lists")
     lists = spark.read.parquet(f"{folder}/lists")
     values = lists.select("text").distinct().repartitionByRange("text").sortWithinPartitions("text").select(F.monotonically_increasing_id().alias("vid"), "text")
@@ -65,6 +66,8 @@ def build(records: DataFrame, folder: str, columns: Sequence[str] = tuple(SEARCH
     grams = values.select("vid", F.explode(grams_of("text")).alias("gram")).groupBy("gram", F.shiftright("vid", BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_list("vid")).alias("values"))
     _write(grams.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block"), f"{folder}/grams")
     _write(lists.join(values, "text").select("vid", "block", "rows").repartitionByRange("vid", "block").sortWithinPartitions("vid", "block"), f"{folder}/rows")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/lists")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return load(spark, folder)
 
 
@@ -105,7 +108,7 @@ def matching_rows(index: Index, text: str) -> DataFrame:
         some = every[:: -(-len(every) // GRAMS)]
         having = index.grams.where(F.col("gram").isin(some)).select(F.explode("values").alias("vid")).groupBy("vid").agg(F.count("*").alias("n")).where(F.col("n") == len(some))
         hits = among(index.values, "vid", having.select("vid")).where(F.col("text").contains(text))
-    return among(index.rows, "vid", hits.select("vid")).select(F.explode("rows").alias("_row")).distinct()
+    return among(index.rows, "vid", hits.select("vid")).select("block", F.explode("rows").alias("place")).select((F.shiftleft("block", BLOCK_BITS) + F.col("place")).alias("_row")).distinct()
 
 
 def filtered(index: Index, search: str = "", **equal: str | None) -> DataFrame:

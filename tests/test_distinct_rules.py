@@ -4,8 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lotwise.operators import clean
-from lotwise.plans.queries import QUERIES
+from lotwise.operators import audit, clean
+from lotwise.plans.queries import QUERIES, categorized
 from lotwise.sources import tables
 from lotwise.sources.inventory import inventory
 
@@ -56,3 +56,22 @@ def test_many_combinations_go_as_numbers(spark, monkeypatch):
     assert rows(got.select("a", "b", "id", "c", "d")) == rows(judge(r).select("a", "b", "id", "c", "d"))
     wide = lambda x: x.withColumn("e", F.concat_ws("-", "a", F.col("b")))
     assert rows(tables.once_for_each(r, ["a", "b"], wide).select("a", "b", "e")) == rows(wide(r).select("a", "b", "e"))
+
+
+def test_audit_joins_no_records(spark):
+    """Counts come from sums; only the list of records looks items up, and few of them are broadcast."""
+    for name in ("audit_scores", "audit_severities"):
+        got = plan(QUERIES[name](spark, SF))
+        assert "SortMergeJoin" not in got and "Generate explode(failed" not in got
+    assert "SortMergeJoin" not in plan(QUERIES["critical_records"](spark, SF))
+    r = categorized(spark, SF).where("_source_row % 3 = 0")
+    dup = {x.item_id for x in audit.duplicates(r).collect()}
+    assert dup and {x.item_id for x in audit.issue_records(r, check="duplicate_item_id").collect()} == dup
+    f = audit.flagged(r)
+    by_rows = {x.c: x.n for x in f.select(F.explode("failed.check").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
+    counted = {x.check: (x.n, x.total) for x in audit.audit(r).collect()}
+    assert {c: n for c, (n, _) in counted.items() if n} == by_rows and len(counted) == len(audit.checks()) and {t for _, t in counted.values()} == {r.count()}
+    s = audit.severities(r).first()
+    assert s.affected == f.where(F.size("failed") > 0).count() and s.instances == sum(by_rows.values()) == s.critical + s.warning + s.info
+    one = audit.issue_records(r).select("failed.check", "labels").limit(50).collect()
+    assert all(",".join(sorted(x.check)) == x.labels for x in one)
